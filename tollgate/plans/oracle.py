@@ -93,7 +93,8 @@ def requests_cte() -> str:
            {path_case} AS path,
            CAST({ports}[e.event_id % {len(FIXTURE_HOSTS)} + 1] AS INTEGER) AS dst_port,
            coalesce({body}, '') AS body,
-           e.user_id AS user_id
+           e.user_id AS user_id,
+           {prompt} AS prompt
     FROM events e
     LEFT JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
     """

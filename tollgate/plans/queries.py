@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.redact import is_opaque, redact_text
 from ..sources.tables import table
+from ..sources import fixtures as fx
 from . import oracle as O
+from . import oracle_traffic as OT
+from . import traffic_queries as TQ
+from .policy import policy_verdicts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -74,8 +78,19 @@ FROM (SELECT 'documents' AS source, doc_id AS id, text AS s FROM documents
 """
 
 
+def policy_verdicts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 flagship: the policy cascade over the whole derived request log."""
+    v = policy_verdicts(spark, fx.requests(spark, sf_dir), fx.decisions(spark, sf_dir), fx.connections(spark, sf_dir))
+    return v.select(
+        "request_id", "app_name", "rule", "allowed", "event_kind", "requires_decision", "provider_name",
+        "event_model", F.concat_ws(", ", "labels").alias("labels"), "burst_count",
+    )
+
+
 def queries() -> dict[str, QueryFn]:
     return {
+        "policy_verdicts": policy_verdicts_q,
+        **TQ.queries(),
         "redact_documents": redact_documents,
         "redact_pages": redact_pages,
         "redact_conversations": redact_conversations,
@@ -85,6 +100,8 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "policy_verdicts": OT.POLICY,
+        **TQ.oracle_sql(),
         "redact_documents": _redaction_sql("documents", ["doc_id"], "text"),
         "redact_pages": _redaction_sql("pages", ["page_id"], "html"),
         "redact_conversations": _redaction_sql("conversations", ["conv_id", "turn"], "text"),
@@ -93,5 +110,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headline query (moves to the policy cascade once it exists)."""
-    return redact_documents(spark, sf_dir)
+    """Headline query: the policy cascade."""
+    return policy_verdicts_q(spark, sf_dir)
