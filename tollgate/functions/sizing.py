@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, bound: int | None = None
+) -> DataFrame:
     """Return ``broadcast(df)`` if it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows, so it is cheap even when
-    the side turns out to be large.
+    ``bound``: a proven upper bound on the row count (e.g. the size of the
+    log it was derived from); when it is small enough no job runs.
+    Otherwise the check reads at most ``max_rows + 1`` rows, so it is cheap
+    even when the side turns out to be large.
     """
+    if bound is not None and bound <= max_rows:
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -27,11 +27,14 @@ def attribute_apps(
     out_col: str = "app_name",
     tolerance_s: float = APP_CACHE_TTL_SECONDS,
     bucket_s: int = 300,
+    keep_col: str | None = None,
 ) -> DataFrame:
+    """``keep_col`` (boolean column name): rows where it is true keep their
+    existing ``out_col`` value instead of the attributed one."""
     tol = int(round(tolerance_s * 1_000_000))
     width = max(int(bucket_s) * 1_000_000, tol)
     if out_col in reqs.columns:
-        reqs = reqs.drop(out_col)
+        reqs = reqs.withColumnRenamed(out_col, "__prev_out")
     r = reqs.withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
     r = r.withColumn("__bk", F.floor(F.col("__t") / width)).withColumn("__kind", F.lit(1))
     c = connections.select(
@@ -50,8 +53,8 @@ def attribute_apps(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     u = u.withColumn("__last", F.last("__conn", ignorenulls=True).over(w))
-    out = u.filter(F.col("__kind") == 1).withColumn(
-        out_col,
-        F.when(F.col("__t") - F.col("__last.t") < tol, F.col("__last.p")).otherwise(F.lit(UNKNOWN_APP)),
-    )
-    return out.drop("__t", "__bk", "__kind", "__conn", "__last")
+    attributed = F.when(F.col("__t") - F.col("__last.t") < tol, F.col("__last.p")).otherwise(F.lit(UNKNOWN_APP))
+    if keep_col is not None and "__prev_out" in u.columns:
+        attributed = F.when(F.col(keep_col), F.col("__prev_out")).otherwise(attributed)
+    out = u.filter(F.col("__kind") == 1).withColumn(out_col, attributed)
+    return out.drop("__t", "__bk", "__kind", "__conn", "__last", "__prev_out")

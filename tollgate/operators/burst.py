@@ -6,6 +6,11 @@ Exact formula: rn = row_number over (app; ts, id);
 count = rn - min(rn) over (app; ts RANGE 60 s PRECEDING .. CURRENT) + 1
 (min ignores the later peers that a plain RANGE count would include).
 
+With an eligibility column only eligible rows are counted, in the same
+pass: c = running count of eligible rows, and
+count = c - min(c - eligible) over the same RANGE frame
+(c - eligible is the count *before* a row, non-decreasing in the order).
+
 Skew: partitions are (app, time bucket), not app alone, so an app holding
 a third of all rows is still spread over many tasks.  Rows within the
 window length of a bucket's end are copied into the next bucket as context
@@ -28,23 +33,33 @@ def burst_counts(
     window_s: int = BURST_WINDOW_SECONDS,
     threshold: int = BURST_THRESHOLD,
     bucket_s: int = 600,
+    eligible_col: str | None = None,
 ) -> DataFrame:
-    """Append ``burst_count`` and ``burst`` (count >= threshold)."""
+    """Append ``burst_count`` and ``burst`` (count >= threshold); both null
+    for rows that are not eligible."""
     win = int(window_s) * 1_000_000
     width = max(int(bucket_s) * 1_000_000, win)
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = df.withColumn("__t", t).withColumn("__bk", F.floor(F.col("__t") / width))
+    elig = F.col(eligible_col).cast("boolean") if eligible_col else F.lit(True)
+    base = df.withColumn("__t", t).withColumn("__bk", F.floor(F.col("__t") / width)).withColumn(
+        "__e", F.coalesce(elig, F.lit(False)).cast("long")
+    )
     own = base.withColumn("__own", F.lit(True))
-    ctx = base.filter(F.col("__t") >= (F.col("__bk") + 1) * width - win).withColumn(
-        "__bk", F.col("__bk") + 1
-    ).withColumn("__own", F.lit(False))
-    u = own.unionByName(ctx)
-    by_order = Window.partitionBy(app_col, "__bk").orderBy("__t", id_col)
+    # Context copies need only the ordering/counting columns.
+    ctx = base.filter((F.col("__e") == 1) & (F.col("__t") >= (F.col("__bk") + 1) * width - win)).select(
+        app_col, id_col, "__t", "__e", (F.col("__bk") + 1).alias("__bk"), F.lit(False).alias("__own")
+    )
+    u = own.unionByName(ctx, allowMissingColumns=True)
+    by_order = (
+        Window.partitionBy(app_col, "__bk").orderBy("__t", id_col)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     by_time = Window.partitionBy(app_col, "__bk").orderBy("__t").rangeBetween(-win, 0)
-    u = u.withColumn("__rn", F.row_number().over(by_order))
-    u = u.withColumn("burst_count", (F.col("__rn") - F.min("__rn").over(by_time) + 1).cast("long"))
+    u = u.withColumn("__c", F.sum("__e").over(by_order))
+    cnt = F.col("__c") - F.min(F.col("__c") - F.col("__e")).over(by_time)
+    u = u.withColumn("burst_count", F.when(F.col("__e") == 1, cnt).cast("long"))
     return (
         u.filter("__own")
-        .withColumn("burst", F.col("burst_count") >= threshold)
-        .drop("__t", "__bk", "__own", "__rn")
+        .withColumn("burst", F.when(F.col("__e") == 1, F.col("burst_count") >= threshold))
+        .drop("__t", "__bk", "__own", "__c", "__e")
     )

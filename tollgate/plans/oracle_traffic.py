@@ -251,38 +251,46 @@ SELECT request_id, json_kind, model, {p}_labels AS labels, {p}_n AS n_labels FRO
 BODY_LABELS = _body_labels_sql()
 
 
-def _frames_sql() -> str:
+def frames_ctes() -> str:
+    """CTEs (needs decisions, cat, ep, custom) ending in ``fx_end``: one row
+    per outbound frame to a known host with labels (fx_labels)."""
     hosts = "[" + ", ".join(q(h) for h, _ in FIXTURE_HOSTS) + "]"
     ctes, end, p = redaction_chain(
-        "SELECT frame_id, host, provider_name, CASE WHEN json_valid(text) THEN NULL ELSE text END AS t FROM known2",
-        "t",
+        "SELECT frame_id, conv_id, host, provider_name, CASE WHEN json_valid(text) THEN NULL ELSE text END AS t "
+        "FROM fknown2", "t", prefix="fx",
     )
     return f"""
-WITH decisions AS ({decisions_cte()}),
-cat AS ({catalogue_values()}),
-{_custom_snapshot()},
 fr AS (
-  SELECT conv_id * 1000 + turn AS frame_id, {hosts}[conv_id % {len(FIXTURE_HOSTS)} + 1] AS host, text
+  SELECT conv_id * 1000 + turn AS frame_id, conv_id, turn, {hosts}[conv_id % {len(FIXTURE_HOSTS)} + 1] AS host, text
   FROM conversations WHERE role = 'user' AND coalesce(text, '') <> ''),
-{_lookup("SELECT frame_id, host, text FROM fr", "lk")},
-known AS (
-  SELECT l.frame_id, l.host, l.text,
+{_lookup("SELECT frame_id, conv_id, host, text FROM fr", "flk")},
+fknown AS (
+  SELECT l.frame_id, l.conv_id, l.host, l.text,
          coalesce(CASE WHEN l.brank = 1 THEN l.bname WHEN cx.host IS NOT NULL THEN cx.name WHEN l.brank = 3 THEN l.bname
                        WHEN cb.host IS NOT NULL THEN cb.name WHEN l.brank = 5 THEN l.bname END, l.host) AS provider_name,
          (l.brank IS NOT NULL OR cx.host IS NOT NULL OR cb.host IS NOT NULL) AS is_known
-  FROM lk l LEFT JOIN custom cx ON cx.host = l.c LEFT JOIN custom cb ON cb.host = l.b),
-known2 AS (SELECT * FROM known WHERE is_known),
-{ctes}
-SELECT frame_id, host, provider_name, {p}_labels AS labels, {p}_n > 0 AS rewritten FROM {end}
+  FROM flk l LEFT JOIN custom cx ON cx.host = l.c LEFT JOIN custom cb ON cb.host = l.b),
+fknown2 AS (SELECT * FROM fknown WHERE is_known),
+{ctes}"""
+
+
+def _frames_sql() -> str:
+    return f"""
+WITH decisions AS ({decisions_cte()}),
+cat AS ({catalogue_values()}),
+{_custom_snapshot()},
+{frames_ctes()}
+SELECT frame_id, host, provider_name, fx_labels AS labels, fx_n > 0 AS rewritten FROM fx_end
 """
 
 
 SCAN_FRAMES = _frames_sql()
 
 
-def _policy_sql() -> str:
+def policy_core() -> str:
+    """WITH-list (no final SELECT) ending in CTE ``fin2``: one row per
+    request with rule, event_kind, labels, model, p_name, cnt, ts, host."""
     ports = _in([p for p, _ in LOCAL_AI_PORTS])
-    port_case = "CASE dst_port " + " ".join(f"WHEN {p} THEN {q(n)}" for p, n in LOCAL_AI_PORTS) + " END"
     lookup_src = (
         "SELECT request_id, ts, src_port, app_name AS logged_app, host, path, "
         "CASE WHEN dst_port IS NULL OR dst_port = 0 THEN 443 ELSE dst_port END AS dst_port, body, prompt FROM requests"
@@ -388,13 +396,20 @@ fin2 AS (
               WHEN rule = 'R5' THEN 'blocked_unknown_model'
               WHEN rule IN ('R7s', 'R7c') THEN 'suspicious_activity'
               WHEN rule = 'R3e' OR (rule = 'R7b' AND labels <> '') THEN 'redacted_sensitive_data' END AS event_kind
-  FROM fin)
+  FROM fin)"""
+
+
+PORT_CASE = "CASE dst_port " + " ".join(f"WHEN {p} THEN {q(n)}" for p, n in LOCAL_AI_PORTS) + " END"
+EVENT_SUBJECT = f"CASE WHEN event_kind IS NULL THEN NULL WHEN rule = 'R4b' THEN {PORT_CASE} WHEN rule = 'R1a' THEN host ELSE p_name END"
+
+
+def _policy_sql() -> str:
+    return policy_core() + f"""
 SELECT request_id, app_name, rule,
        rule NOT IN ('R4a', 'R4b', 'R1a', 'R1c', 'R2a', 'R2b', 'R5') AS allowed,
        event_kind,
        CASE WHEN event_kind IS NOT NULL THEN rule IN ('R4a', 'R4b', 'R1a', 'R2b', 'R5') END AS requires_decision,
-       CASE WHEN event_kind IS NULL THEN NULL WHEN rule = 'R4b' THEN {port_case}
-            WHEN rule = 'R1a' THEN host ELSE p_name END AS provider_name,
+       {EVENT_SUBJECT} AS provider_name,
        CASE WHEN rule = 'R5' THEN model END AS event_model,
        labels,
        CAST(cnt AS BIGINT) AS burst_count

@@ -14,6 +14,8 @@ from ..sources.tables import table
 from ..sources import fixtures as fx
 from . import oracle as O
 from . import oracle_traffic as OT
+from . import event_queries as EQ
+from . import oracle_events as OE
 from . import traffic_queries as TQ
 from .policy import policy_verdicts
 
@@ -91,6 +93,7 @@ def queries() -> dict[str, QueryFn]:
     return {
         "policy_verdicts": policy_verdicts_q,
         **TQ.queries(),
+        **EQ.queries(),
         "redact_documents": redact_documents,
         "redact_pages": redact_pages,
         "redact_conversations": redact_conversations,
@@ -102,6 +105,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "policy_verdicts": OT.POLICY,
         **TQ.oracle_sql(),
+        **OE.oracle_sql(),
         "redact_documents": _redaction_sql("documents", ["doc_id"], "text"),
         "redact_pages": _redaction_sql("pages", ["page_id"], "html"),
         "redact_conversations": _redaction_sql("conversations", ["conv_id", "turn"], "text"),
