@@ -14,6 +14,7 @@ from ..functions.constants import (
     HISTORY_LENGTH,
     SUMMARY_CHARS,
 )
+from ..session import ensure_checkpoint_dir
 from .events import with_presentation
 
 
@@ -57,6 +58,10 @@ def alert_intervals(
     alerts = u.filter(F.col("__own") & F.col("__alert")).select(
         "id", "kind", "source", "source_id", "__bk", F.col("__t").alias("start_us"), F.col("__end").alias("end_us")
     )
+    # The narrow alert table feeds three branches below; write it once to
+    # the shared checkpoint folder instead of recomputing the event lineage.
+    ensure_checkpoint_dir(alerts.sparkSession)
+    alerts = alerts.checkpoint(eager=True)
     # Islands: ends are monotone in start, so an alert opens a new island
     # iff it starts after the previous alert's end.
     order = Window.partitionBy("__bk").orderBy("start_us", "source", "source_id")

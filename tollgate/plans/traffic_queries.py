@@ -13,7 +13,7 @@ from ..operators.approvals import endpoint_snapshot
 from ..operators.attribution import attribute_apps as _attribute_apps
 from ..operators.burst import burst_counts
 from ..operators.discovery import first_seen
-from ..operators.payloads import json_string_model, oversize_payloads as _oversize, unusual_models as _unusual
+from ..operators.payloads import oversize_payloads as _oversize, unusual_models as _unusual, with_json_model
 from ..operators.providers import resolve_hosts
 from ..sources import fixtures as fx
 from ..sources.catalogue import builtin_catalogue, empty_catalogue
@@ -67,7 +67,7 @@ def oversize_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unusual_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JVM-side model extraction (VARIANT) + as-of approval."""
-    r = fx.requests(spark, sf_dir).withColumn("model", json_string_model(F.col("body")))
+    r = with_json_model(fx.requests(spark, sf_dir))
     out = _unusual(r, fx.decisions(spark, sf_dir))
     return out.select("request_id", "host", "model", "model_snippet")
 
