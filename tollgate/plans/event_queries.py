@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.alerts import alert_intervals as _alert_intervals
 from ..operators.alerts import alert_islands, recent_activity as _recent
+from ..operators.cooldown import alert_cooldown as _alert_cooldown
 from ..operators.events import build_events as _build_events
 from ..operators.frames import frame_events, scan_frames
 from ..sources import fixtures as fx
@@ -46,8 +47,14 @@ def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", "kind", "badge", "colour", "summary", "time_of_day", "source", "source_id")
 
 
+def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _alert_cooldown(events_pipeline(spark, sf_dir))
+    return c.select("id", "kind", "app_name", "source", "source_id", "shown")
+
+
 def queries() -> dict:
     return {
+        "alert_cooldown": alert_cooldown,
         "build_events": build_events,
         "alert_intervals": alert_intervals,
         "recent_activity": recent_activity,

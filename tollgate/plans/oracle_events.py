@@ -105,8 +105,26 @@ FROM top t LEFT JOIN dim d ON d.kind = t.kind
 """
 
 
+ALERT_COOLDOWN = "WITH RECURSIVE " + events_ctes().lstrip().removeprefix("WITH").lstrip() + """,
+seq AS (
+  SELECT id, kind, app_name, source, source_id, epoch_us(ts) AS t, requires_decision AS rd,
+         row_number() OVER (PARTITION BY kind, app_name ORDER BY ts, source, source_id) AS rn
+  FROM evs),
+walk(kind, app_name, rn, last_shown, shown) AS (
+  SELECT kind, app_name, rn, t, TRUE FROM seq WHERE rn = 1
+  UNION ALL
+  SELECT s.kind, s.app_name, s.rn,
+         CASE WHEN s.rd OR s.t - w.last_shown >= 30000000 THEN s.t ELSE w.last_shown END,
+         s.rd OR s.t - w.last_shown >= 30000000
+  FROM walk w JOIN seq s ON s.kind = w.kind AND s.app_name = w.app_name AND s.rn = w.rn + 1)
+SELECT s.id, s.kind, s.app_name, s.source, s.source_id, w.shown
+FROM seq s JOIN walk w ON w.kind = s.kind AND w.app_name = s.app_name AND w.rn = s.rn
+"""
+
+
 def oracle_sql() -> dict:
     return {
+        "alert_cooldown": ALERT_COOLDOWN,
         "build_events": BUILD_EVENTS,
         "alert_intervals": ALERT_INTERVALS,
         "recent_activity": RECENT_ACTIVITY,
