@@ -418,3 +418,25 @@ FROM fin2
 
 
 POLICY = _policy_sql()
+
+
+MERGE_CATALOGUE = f"""
+WITH {_base_ctes()},
+{_lookup("SELECT request_id, ts, host, path, CASE WHEN dst_port IS NULL OR dst_port = 0 THEN 443 ELSE dst_port END AS dst_port FROM requests", "lk")},
+{_known_ctes("lk")},
+ep AS (SELECT lower(key) AS k, ts, decision_id, verdict, display_name FROM decisions WHERE target = 'endpoint'),
+last_v AS (SELECT k, arg_max(verdict, {{'ts': ts, 'id': decision_id}}) AS verdict FROM ep GROUP BY k),
+last_ok AS (SELECT k, arg_max(display_name, {{'ts': ts, 'id': decision_id}}) AS ok_name FROM ep WHERE verdict = 'approve' GROUP BY k),
+custom AS (
+  SELECT kt.key AS host, coalesce(o.ok_name, kt.name) AS name, coalesce(v.verdict = 'approve', FALSE) AS approved,
+         FALSE AS local, 'custom' AS origin, epoch_us(kt.first.ts) AS ord
+  FROM kt LEFT JOIN last_v v ON v.k = kt.key LEFT JOIN last_ok o ON o.k = kt.key),
+ph AS (SELECT DISTINCT regexp_extract(url, '{URL_HOST_RX}', 1) AS host FROM pages),
+remote AS (SELECT host, name, approved, local FROM cat UNION ALL SELECT host, host, TRUE, FALSE FROM ph WHERE host <> ''),
+added AS (
+  SELECT host, name, approved, local, 'remote' AS origin, CAST(NULL AS BIGINT) AS ord FROM remote
+  WHERE host NOT IN (SELECT host FROM cat) AND host NOT IN (SELECT host FROM custom))
+SELECT host, name, approved, local, 'builtin' AS origin, CAST(ord AS BIGINT) AS ord, CAST(0 AS BIGINT) AS origin_rank FROM cat
+UNION ALL SELECT host, name, approved, local, origin, ord, CAST(1 AS BIGINT) FROM custom
+UNION ALL SELECT host, name, approved, local, origin, ord, CAST(2 AS BIGINT) FROM added
+"""

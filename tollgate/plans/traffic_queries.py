@@ -16,7 +16,8 @@ from ..operators.discovery import first_seen
 from ..operators.payloads import oversize_payloads as _oversize, unusual_models as _unusual, with_json_model
 from ..operators.providers import resolve_hosts
 from ..sources import fixtures as fx
-from ..sources.catalogue import builtin_catalogue, empty_catalogue
+from ..operators.catalogue_merge import custom_after_log, merge_catalogue
+from ..sources.catalogue import builtin_catalogue, empty_catalogue, read_catalogue_lines, write_catalogue_lines
 from ..sources.tables import table
 from . import oracle_traffic as OT
 
@@ -141,8 +142,34 @@ def scan_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remote_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A community list derived from the data: the built-in entries plus
+    every page host, stored once in line form (S4) and read back (S3)."""
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", OT.URL_HOST_RX, 1).alias("host"))
+    hosts = pages.filter(F.col("host") != "").distinct()
+    listed = builtin_catalogue(spark).select("host", "name", "paths", "local", "approved", "ord").unionByName(
+        hosts.select("host", F.col("host").alias("name"), F.array().cast("array<string>").alias("paths"),
+                     F.lit(False).alias("local"), F.lit(True).alias("approved"), F.lit(None).cast("long").alias("ord"))
+    )
+    path = fx.stored_path(spark, sf_dir, "remote_catalogue")
+    if not fx.path_done(spark, path):
+        write_catalogue_lines(listed, path)
+    return read_catalogue_lines(spark, path, "remote").withColumn("ord", F.lit(None).cast("long"))
+
+
+def merge_catalogue_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in + custom (after the whole log) + remote entries new to both."""
+    decisions = fx.decisions(spark, sf_dir)
+    known = first_seen(_with_builtin_rank(spark, fx.requests(spark, sf_dir)), decisions)
+    custom = custom_after_log(known, decisions)
+    merged = merge_catalogue(builtin_catalogue(spark), custom, remote_catalogue(spark, sf_dir))
+    return merged.select("host", "name", "approved", "local", "origin", "ord",
+                         F.col("origin_rank").cast("long").alias("origin_rank"))
+
+
 def queries() -> dict:
     return {
+        "merge_catalogue": merge_catalogue_q,
         "resolve_hosts": resolve_hosts_q,
         "ai_like_requests": ai_like_requests,
         "oversize_payloads": oversize_payloads,
@@ -159,6 +186,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "merge_catalogue": OT.MERGE_CATALOGUE,
         "resolve_hosts": OT.RESOLVE_HOSTS,
         "ai_like_requests": OT.AI_LIKE,
         "oversize_payloads": OT.OVERSIZE,

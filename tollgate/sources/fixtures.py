@@ -230,7 +230,7 @@ def _source_stamp(spark: SparkSession, sf_dir: str) -> str:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     parts = [LOG_VERSION, sf_dir]
-    for name in ("events", "documents", "conversations"):
+    for name in ("events", "documents", "conversations", "pages"):
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
         fs = p.getFileSystem(conf)
         if fs.exists(p):
@@ -239,14 +239,22 @@ def _source_stamp(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
-def stored_log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived log ``name``, materialised once per source state."""
+def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tollgate-logs/{_source_stamp(spark, sf_dir)}/{name}"
+    return f"{base}/tollgate-logs/{_source_stamp(spark, sf_dir)}/{name}"
+
+
+def path_done(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
+    return bool(done.getFileSystem(conf).exists(done))
+
+
+def stored_log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The derived log ``name``, materialised once per source state."""
+    path = stored_path(spark, sf_dir, name)
+    if not path_done(spark, path):
         _BUILDERS[name](spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
