@@ -34,9 +34,12 @@ def burst_counts(
     threshold: int = BURST_THRESHOLD,
     bucket_s: int = 600,
     eligible_col: str | None = None,
+    context: DataFrame | None = None,
 ) -> DataFrame:
     """Append ``burst_count`` and ``burst`` (count >= threshold); both null
-    for rows that are not eligible."""
+    for rows that are not eligible.  ``context``: earlier eligible rows
+    (app_col, ts_col, id_col) that count but are not returned (streaming
+    state: the previous micro-batches' last window)."""
     win = int(window_s) * 1_000_000
     width = max(int(bucket_s) * 1_000_000, win)
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
@@ -50,6 +53,14 @@ def burst_counts(
         app_col, id_col, "__t", "__e", (F.col("__bk") + 1).alias("__bk"), F.lit(False).alias("__own")
     )
     u = own.unionByName(ctx, allowMissingColumns=True)
+    if context is not None:
+        prior = context.select(
+            app_col, id_col, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t")
+        ).withColumn("__bk", F.floor(F.col("__t") / width)).withColumn("__e", F.lit(1).cast("long"))
+        prior_next = prior.filter(F.col("__t") >= (F.col("__bk") + 1) * width - win).withColumn(
+            "__bk", F.col("__bk") + 1
+        )
+        u = u.unionByName(prior.unionByName(prior_next).withColumn("__own", F.lit(False)), allowMissingColumns=True)
     by_order = (
         Window.partitionBy(app_col, "__bk").orderBy("__t", id_col)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

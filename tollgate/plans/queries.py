@@ -89,9 +89,27 @@ def policy_verdicts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_policy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log replayed as four time-ordered arrivals through the
+    streaming job; must equal the batch verdicts."""
+    import uuid
+
+    from ..streaming.stream_policy import replay_in_time_chunks
+
+    work = fx.stored_path(spark, sf_dir, f"stream-{uuid.uuid4().hex[:8]}")
+    v = replay_in_time_chunks(
+        spark, fx.requests(spark, sf_dir), fx.decisions(spark, sf_dir), fx.connections(spark, sf_dir), work
+    )
+    return v.select(
+        "request_id", "app_name", "rule", "allowed", "event_kind", "requires_decision", "provider_name",
+        "event_model", F.concat_ws(", ", "labels").alias("labels"), "burst_count",
+    )
+
+
 def queries() -> dict[str, QueryFn]:
     return {
         "policy_verdicts": policy_verdicts_q,
+        "stream_policy": stream_policy_q,
         **TQ.queries(),
         **EQ.queries(),
         "redact_documents": redact_documents,
@@ -104,6 +122,7 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     return {
         "policy_verdicts": OT.POLICY,
+        "stream_policy": OT.POLICY,
         **TQ.oracle_sql(),
         **OE.oracle_sql(),
         "redact_documents": _redaction_sql("documents", ["doc_id"], "text"),
