@@ -115,3 +115,32 @@ def test_non_object_json_kinds():
     assert scan_body("not json at all")[2] == "text"
     assert scan_body('{"model": 5}')[3] is None
     assert scan_body('{"model": "a/b"}')[3] == "a/b"
+
+
+def _unguarded(text, placeholder=PH):
+    from tollgate.functions.redact import PY_RULES, py_is_opaque
+
+    if py_is_opaque(text):
+        return text, []
+    labels = []
+    for label, rx in PY_RULES:
+        new, n = rx.subn(lambda _m: placeholder, text)
+        if n:
+            labels.append(label)
+            text = new
+    return text, labels
+
+
+def test_guards_never_change_results():
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql(
+        "SELECT text FROM '/root/testdata/sf0.01/documents.parquet' "
+        "UNION ALL SELECT text FROM '/root/testdata/sf0.01/conversations.parquet'").fetchall() if r[0]]
+    texts += [t for _, p, n in CASES for t in (p, n)]
+    texts += ["DRİVER LIC ABC12345", "ſecret_access_key = " + "a" * 40, "AKIA" + "Q" * 16]
+    for t in texts:
+        assert py_redact_string(t) == _unguarded(t)
+    for ph in ("<PII 1>", "-", "x", "@"):
+        for t in texts[:50] + texts[-30:]:
+            assert py_redact_string(t, ph) == _unguarded(t, ph), (ph, t[:80])

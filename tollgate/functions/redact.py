@@ -22,7 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .constants import DEFAULT_PLACEHOLDER, DETECTION_RULES, OPAQUE_CHARSET, OPAQUE_MIN_LENGTH
+from .constants import (
+    DEFAULT_PLACEHOLDER,
+    DETECTION_RULES,
+    FOLD_FROM,
+    FOLD_TO,
+    OPAQUE_CHARSET,
+    OPAQUE_MIN_LENGTH,
+    RULE_GUARDS,
+)
 
 # Python's str.isspace() also counts the information separators U+001C..U+001F
 # as white space; Java's Unicode \s does not.  Add them so both agree.
@@ -63,6 +71,42 @@ PY_RULES: list[tuple[str, re.Pattern]] = [
     (label, re.compile(p, re.IGNORECASE if ic else 0)) for label, p, ic in DETECTION_RULES
 ]
 _PY_OPAQUE = re.compile("[" + OPAQUE_CHARSET + "]+")
+_PY_DIGIT = re.compile(r"\d")
+_FOLD_TABLE = str.maketrans(FOLD_FROM, FOLD_TO)
+
+
+def effective_guards(placeholder: str) -> list[dict]:
+    """Per-rule guards that stay necessary conditions for this placeholder.
+
+    Rules run on text that may already contain placeholders, so a guard
+    component is dropped when the placeholder itself could satisfy it (or
+    could form a guard string across its edge with neighbouring text)."""
+    folded_ph = placeholder.translate(_FOLD_TABLE).lower()
+    edges = {placeholder[:1], placeholder[-1:]} if placeholder else set()
+    out = []
+    for g in RULE_GUARDS:
+        eff: dict = {}
+        if g.get("digit") and not _PY_DIGIT.search(placeholder):
+            eff["digit"] = True
+        for key, hay in (("raw", placeholder), ("fold", folded_ph)):
+            subs = g.get(key)
+            if not subs:
+                continue
+            spans = any(e and e.lower() in sub.lower() for e in edges for sub in subs)
+            if not spans and not any(sub in hay for sub in subs):
+                eff[key] = subs
+        out.append(eff)
+    return out
+
+
+def _py_guard_ok(g: dict, text: str, folded: str, has_digit: bool) -> bool:
+    if g.get("digit") and not has_digit:
+        return False
+    if "raw" in g and not any(sub in text for sub in g["raw"]):
+        return False
+    if "fold" in g and not any(sub in folded for sub in g["fold"]):
+        return False
+    return True
 
 
 def is_opaque(text: Column) -> Column:
@@ -100,11 +144,21 @@ def redact_text(
     # Opaque (and null) strings start the chain as null: regexp_replace(null)
     # costs nothing, and coalesce restores the original at the end.
     out = df.withColumn(steps[0], F.when(~is_opaque(src), src))
+    # Guard inputs, computed once per row: case-folded text and "has a digit".
+    out = out.withColumns({
+        "__g_fold": F.lower(F.translate(src, FOLD_FROM, FOLD_TO)),
+        "__g_digit": src.rlike(r"(?U)\d"),
+    })
     # One projection per rule: each step reads the previous one, so Catalyst
     # keeps them as separate (non-duplicated) expressions in one codegen stage.
+    # A rule whose guard fails keeps the text without converting or scanning it.
     literal = placeholder.replace("\\", "\\\\").replace("$", "\\$")
+    guards = effective_guards(placeholder)
     for i, (_, pattern) in enumerate(JAVA_RULES, start=1):
-        out = out.withColumn(steps[i], F.regexp_replace(F.col(steps[i - 1]), pattern, literal))
+        prev = F.col(steps[i - 1])
+        replaced = F.regexp_replace(prev, pattern, literal)
+        cond = _spark_guard(guards[i - 1], src)
+        out = out.withColumn(steps[i], replaced if cond is None else F.when(cond, replaced).otherwise(prev))
     hits = [
         F.when(F.col(steps[i]) != F.col(steps[i - 1]), F.lit(label))
         for i, (label, _) in enumerate(JAVA_RULES, start=1)
@@ -112,7 +166,30 @@ def redact_text(
     out = out.withColumn(out_labels, F.array_compact(F.array(*hits))).withColumn(
         out_text, F.coalesce(F.col(steps[-1]), src)
     )
-    return out.drop(*steps)
+    return out.drop(*steps, "__g_fold", "__g_digit")
+
+
+def _spark_guard(g: dict, src: Column):
+    conds = []
+    if g.get("digit"):
+        conds.append(F.col("__g_digit"))
+    if "raw" in g:
+        conds.append(_any([src.contains(sub) for sub in g["raw"]]))
+    if "fold" in g:
+        conds.append(_any([F.col("__g_fold").contains(sub) for sub in g["fold"]]))
+    if not conds:
+        return None
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
+def _any(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -123,12 +200,22 @@ def py_is_opaque(text: str) -> bool:
     return len(text) > OPAQUE_MIN_LENGTH and " " not in text and _PY_OPAQUE.fullmatch(text) is not None
 
 
+_GUARD_CACHE: dict[str, list[dict]] = {}
+
+
 def py_redact_string(text: str, placeholder: str = DEFAULT_PLACEHOLDER) -> tuple[str, list[str]]:
     """Redact one string; returns (text, labels)."""
     if py_is_opaque(text):
         return text, []
     labels: list[str] = []
-    for label, rx in PY_RULES:
+    guards = _GUARD_CACHE.get(placeholder)
+    if guards is None:
+        guards = _GUARD_CACHE.setdefault(placeholder, effective_guards(placeholder))
+    folded = text.translate(_FOLD_TABLE).lower()
+    has_digit = _PY_DIGIT.search(text) is not None
+    for (label, rx), g in zip(PY_RULES, guards):
+        if not _py_guard_ok(g, text, folded, has_digit):
+            continue
         new_text, n = rx.subn(lambda _m: placeholder, text)
         if n:
             labels.append(label)
