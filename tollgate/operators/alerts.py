@@ -14,6 +14,7 @@ from ..functions.constants import (
     HISTORY_LENGTH,
     SUMMARY_CHARS,
 )
+from ..functions.buckets import with_bucket_copies
 from ..session import ensure_checkpoint_dir
 from .events import with_presentation
 
@@ -48,11 +49,10 @@ def alert_intervals(
     base = events.select(
         "id", "kind", "source", "source_id", _t().alias("__t"),
         F.col("kind").isin(*kinds).alias("__alert"),
-    ).withColumn("__bk", F.floor(F.col("__t") / width))
-    ctx = base.filter(F.col("__t") >= (F.col("__bk") + 1) * width - r_us).withColumn(
-        "__bk", F.col("__bk") + 1
-    ).withColumn("__own", F.lit(False))
-    u = base.withColumn("__own", F.lit(True)).unionByName(ctx)
+    )
+    # Events within ``restore`` of a bucket's end are context for the next
+    # bucket: one explode, no self-union (the event lineage runs once).
+    u = with_bucket_copies(base, "__t", width, r_us, keep=[])
     w = Window.partitionBy("__bk").orderBy("__t").rangeBetween(-(r_us - 1), 0)
     u = u.withColumn("__end", F.min("__t").over(w) + r_us)
     alerts = u.filter(F.col("__own") & F.col("__alert")).select(

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.buckets import with_bucket_copies
 from ..functions.constants import BURST_THRESHOLD, BURST_WINDOW_SECONDS
 
 
@@ -44,23 +45,17 @@ def burst_counts(
     width = max(int(bucket_s) * 1_000_000, win)
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
     elig = F.col(eligible_col).cast("boolean") if eligible_col else F.lit(True)
-    base = df.withColumn("__t", t).withColumn("__bk", F.floor(F.col("__t") / width)).withColumn(
-        "__e", F.coalesce(elig, F.lit(False)).cast("long")
-    )
-    own = base.withColumn("__own", F.lit(True))
-    # Context copies need only the ordering/counting columns.
-    ctx = base.filter((F.col("__e") == 1) & (F.col("__t") >= (F.col("__bk") + 1) * width - win)).select(
-        app_col, id_col, "__t", "__e", (F.col("__bk") + 1).alias("__bk"), F.lit(False).alias("__own")
-    )
-    u = own.unionByName(ctx, allowMissingColumns=True)
+    base = df.withColumn("__t", t).withColumn("__e", F.coalesce(elig, F.lit(False)).cast("long"))
+    # Eligible rows within the window length of a bucket's end also count in
+    # the next bucket: emitted twice by one explode (no self-union).
+    u = with_bucket_copies(base, "__t", width, win, keep=[app_col, id_col, "__e"],
+                           copy_when=F.col("__e") == 1)
     if context is not None:
         prior = context.select(
             app_col, id_col, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t")
-        ).withColumn("__bk", F.floor(F.col("__t") / width)).withColumn("__e", F.lit(1).cast("long"))
-        prior_next = prior.filter(F.col("__t") >= (F.col("__bk") + 1) * width - win).withColumn(
-            "__bk", F.col("__bk") + 1
-        )
-        u = u.unionByName(prior.unionByName(prior_next).withColumn("__own", F.lit(False)), allowMissingColumns=True)
+        ).withColumn("__e", F.lit(1).cast("long"))
+        prior = with_bucket_copies(prior, "__t", width, win, keep=[app_col, id_col, "__e"])
+        u = u.unionByName(prior.withColumn("__own", F.lit(False)), allowMissingColumns=True)
     by_order = (
         Window.partitionBy(app_col, "__bk").orderBy("__t", id_col)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
