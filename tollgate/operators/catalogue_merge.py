@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import broadcast_if_small
 from .approvals import endpoint_snapshot
 
 ORIGIN_RANK = {"builtin": 0, "custom": 1, "remote": 2}
@@ -42,9 +43,9 @@ def custom_after_log(known: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def merge_catalogue(builtin: DataFrame, custom: DataFrame, remote: DataFrame) -> DataFrame:
     """N7 + O2.  ``remote`` may be large (a community list); the anti join
-    keeps it distributed (the known-host side is broadcast by the planner
-    when small)."""
-    known = builtin.select("host").unionByName(custom.select("host"))
+    keeps it distributed, with the known hosts broadcast after a bounded
+    count."""
+    known = broadcast_if_small(builtin.select("host").unionByName(custom.select("host")))
     added = remote.join(known, "host", "left_anti").withColumn("origin", F.lit("remote"))
     cols = ["host", "name", "paths", "local", "approved", "origin", "ord"]
     out = builtin.select(*cols).unionByName(custom.select(*cols)).unionByName(added.select(*cols))
