@@ -106,7 +106,24 @@ def stream_policy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _in_utc(fn: QueryFn) -> QueryFn:
+    """Event time is compared and printed as UTC; pin the session zone so a
+    caller's session settings cannot shift naive timestamps."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
+    return {name: _in_utc(fn) for name, fn in _raw_queries().items()}
+
+
+def _raw_queries() -> dict[str, QueryFn]:
     return {
         "policy_verdicts": policy_verdicts_q,
         "stream_policy": stream_policy_q,
@@ -134,4 +151,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline query: the policy cascade."""
-    return policy_verdicts_q(spark, sf_dir)
+    return queries()["policy_verdicts"](spark, sf_dir)
