@@ -251,6 +251,48 @@ SELECT request_id, json_kind, model, {p}_labels AS labels, {p}_n AS n_labels FRO
 BODY_LABELS = _body_labels_sql()
 
 
+def json_ascii_sql(x: str) -> str:
+    """SQL for Python's json.dumps string escaping with ensure_ascii (the
+    text between the quotes): escapes, \\uXXXX for all but printable ASCII,
+    surrogate pairs above the BMP."""
+    ch = (
+        "CASE WHEN ch = '\"' THEN '\\\"' WHEN ch = '\\' THEN '\\\\' "
+        "WHEN ch = chr(10) THEN '\\n' WHEN ch = chr(13) THEN '\\r' WHEN ch = chr(9) THEN '\\t' "
+        "WHEN ch = chr(8) THEN '\\b' WHEN ch = chr(12) THEN '\\f' "
+        "WHEN unicode(ch) BETWEEN 32 AND 126 THEN ch "
+        "WHEN unicode(ch) < 65536 THEN printf('\\u%04x', unicode(ch)) "
+        "ELSE printf('\\u%04x\\u%04x', 55296 + ((unicode(ch) - 65536) >> 10), "
+        "56320 + ((unicode(ch) - 65536) & 1023)) END"
+    )
+    return f"CASE WHEN {x} = '' THEN '' ELSE array_to_string(list_transform(string_split({x}, ''), lambda ch: {ch}), '') END"
+
+
+def _redact_bodies_sql() -> str:
+    # Fixture bodies: a {"model", "prompt"} object, a list holding one, or the
+    # raw prompt.  A hit re-serialises the parsed body the json.dumps way.
+    ctes, end, p = redaction_chain(
+        f"SELECT request_id, body, prompt, {_KIND_SQL} AS json_kind, "
+        f"CASE WHEN json_valid(body) THEN json_extract_string(body, CASE WHEN {_KIND_SQL} = 'array' "
+        f"THEN '$[0].model' ELSE '$.model' END) END AS any_model, {_MODEL_SQL} AS model FROM requests",
+        "prompt",
+    )
+    obj = (f"'{{\"model\": \"' || {json_ascii_sql('any_model')} || '\", \"prompt\": \"' || "
+           f"{json_ascii_sql(p + '_text')} || '\"}}'")
+    return f"""
+WITH requests AS ({requests_cte()}),
+{ctes}
+SELECT request_id, json_kind, model, {p}_labels AS labels,
+       CASE WHEN {p}_n = 0 THEN NULL
+            WHEN json_kind = 'text' THEN {p}_text
+            WHEN json_kind = 'array' THEN '[' || {obj} || ']'
+            ELSE {obj} END AS modified_body
+FROM {end}
+"""
+
+
+REDACT_BODIES = _redact_bodies_sql()
+
+
 def frames_ctes() -> str:
     """CTEs (needs decisions, cat, ep, custom) ending in ``fx_end``: one row
     per outbound frame to a known host with labels (fx_labels)."""

@@ -122,8 +122,8 @@ def body_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2 full output including the rewritten body (no SQL equivalent for
-    the Python re-serialisation: rows-only check)."""
+    """J2 full output including the rewritten body (re-serialised the way
+    Python's json.dumps does)."""
     r = fx.requests(spark, sf_dir)
     s = r.withColumn("s", scan_bodies_udf()(F.col("body")))
     return s.select(
@@ -196,5 +196,6 @@ def oracle_sql() -> dict:
         "burst_activity": OT.BURST,
         "attribute_apps": OT.ATTRIBUTE,
         "body_labels": OT.BODY_LABELS,
+        "redact_bodies": OT.REDACT_BODIES,
         "scan_frames": OT.SCAN_FRAMES,
     }
