@@ -10,6 +10,7 @@ from ..operators.alerts import alert_intervals as _alert_intervals
 from ..operators.alerts import alert_islands, recent_activity as _recent
 from ..operators.cooldown import alert_cooldown as _alert_cooldown
 from ..operators.events import build_events as _build_events
+from ..operators.events import iso_timestamp
 from ..operators.frames import frame_events, scan_frames
 from ..sources import fixtures as fx
 from .policy import policy_verdicts
@@ -26,7 +27,7 @@ def events_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events_pipeline(spark, sf_dir)
     return e.select(
-        "id", F.date_format("timestamp", TS_FMT).alias("timestamp"), "kind", "app_name", "provider_host",
+        "id", iso_timestamp(F.col("timestamp")).alias("timestamp"), "kind", "app_name", "provider_host",
         "provider_name", "what", "why", "action", "requires_decision", "model",
         F.concat_ws(", ", "redacted_fields").alias("redacted_fields"), "source", "source_id",
     )

@@ -22,7 +22,7 @@ def _messages(rule: str, cols: dict[str, str]) -> list[str]:
     return out
 
 
-def events_ctes() -> str:
+def events_ctes(sources: tuple[str, ...] = ("request", "frame", "decision")) -> str:
     """WITH-list ending in CTE ``evs`` (the J14 event table)."""
     req_cols = {"a": "app_name", "h": "host", "n": "subject", "m": "substring(model, 1, 60)", "l": "labels"}
     what, why, action = _messages("rule", req_cols)
@@ -64,11 +64,15 @@ ev_dec AS (
                CASE WHEN target <> 'app' THEN key ELSE '' END AS host,
                coalesce(display_name, '') AS name
         FROM decisions)),
-evs AS (SELECT * FROM ev_req UNION ALL SELECT * FROM ev_fr UNION ALL SELECT * FROM ev_dec)"""
+evs AS ({" UNION ALL ".join(f"SELECT * FROM {n}" for n, src in
+                 (("ev_req", "request"), ("ev_fr", "frame"), ("ev_dec", "decision")) if src in sources)})"""
 
 
+ISO_TS = ("CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') "
+          "ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') END")
+
 BUILD_EVENTS = events_ctes() + f"""
-SELECT id, strftime(ts, {_TS}) AS timestamp, kind, app_name, provider_host, provider_name, what, why, action,
+SELECT id, {ISO_TS} AS timestamp, kind, app_name, provider_host, provider_name, what, why, action,
        requires_decision, model, redacted_fields, source, source_id
 FROM evs
 """
@@ -105,7 +109,8 @@ FROM top t LEFT JOIN dim d ON d.kind = t.kind
 """
 
 
-ALERT_COOLDOWN = "WITH RECURSIVE " + events_ctes().lstrip().removeprefix("WITH").lstrip() + """,
+def cooldown_sql(sources: tuple[str, ...] = ("request", "frame", "decision")) -> str:
+    return "WITH RECURSIVE " + events_ctes(sources).lstrip().removeprefix("WITH").lstrip() + """,
 seq AS (
   SELECT id, kind, app_name, source, source_id, epoch_us(ts) AS t, requires_decision AS rd,
          row_number() OVER (PARTITION BY kind, app_name ORDER BY ts, source, source_id) AS rn
@@ -122,9 +127,14 @@ FROM seq s JOIN walk w ON w.kind = s.kind AND w.app_name = s.app_name AND w.rn =
 """
 
 
+ALERT_COOLDOWN = cooldown_sql()
+STREAM_EVENTS = cooldown_sql(("request",))
+
+
 def oracle_sql() -> dict:
     return {
         "alert_cooldown": ALERT_COOLDOWN,
+        "stream_events": STREAM_EVENTS,
         "build_events": BUILD_EVENTS,
         "alert_intervals": ALERT_INTERVALS,
         "recent_activity": RECENT_ACTIVITY,

@@ -106,6 +106,21 @@ def stream_policy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_events_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J18 events: the replayed stream's event sink with the cooldown flag
+    carried across micro-batches (request events)."""
+    import uuid
+
+    from ..streaming.stream_policy import replay_in_time_chunks
+
+    work = fx.stored_path(spark, sf_dir, f"stream-{uuid.uuid4().hex[:8]}")
+    replay_in_time_chunks(
+        spark, fx.requests(spark, sf_dir), fx.decisions(spark, sf_dir), fx.connections(spark, sf_dir), work
+    )
+    ev = spark.read.parquet(f"{work}/sink_events")
+    return ev.select("id", "kind", "app_name", "source", "source_id", "shown")
+
+
 def _in_utc(fn: QueryFn) -> QueryFn:
     """Event time is compared and printed as UTC; pin the session zone so a
     caller's session settings cannot shift naive timestamps."""
@@ -127,6 +142,7 @@ def _raw_queries() -> dict[str, QueryFn]:
     return {
         "policy_verdicts": policy_verdicts_q,
         "stream_policy": stream_policy_q,
+        "stream_events": stream_events_q,
         **TQ.queries(),
         **EQ.queries(),
         "redact_documents": redact_documents,
