@@ -31,7 +31,7 @@ def alert_intervals(
     events: DataFrame,
     restore_ms: int = ALERT_RESTORE_MS,
     alert_kinds: list[str] | None = None,
-    bucket_s: int = 600,
+    bucket_s: int = 60,
 ) -> DataFrame:
     """Per alert event: start and end of the 'issue' state it causes.
 

@@ -26,7 +26,7 @@ def attribute_apps(
     ts_col: str = "ts",
     out_col: str = "app_name",
     tolerance_s: float = APP_CACHE_TTL_SECONDS,
-    bucket_s: int = 300,
+    bucket_s: int = 60,
     keep_col: str | None = None,
 ) -> DataFrame:
     """``keep_col`` (boolean column name): rows where it is true keep their

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import ALERT_COOLDOWN_SECONDS
+from ..functions.sizing import broadcast_if_small
 from ..session import ensure_checkpoint_dir
 
 
@@ -40,7 +41,7 @@ def _order() -> F.Column:
 def alert_cooldown(
     events: DataFrame,
     cooldown_s: int = ALERT_COOLDOWN_SECONDS,
-    bucket_s: int = 3600,
+    bucket_s: int = 600,
     key_cols: tuple[str, str] = ("kind", "app_name"),
 ) -> DataFrame:
     """Return ``events`` (all columns) with a boolean ``shown`` column.
@@ -61,7 +62,9 @@ def alert_cooldown(
     base = base.withColumn("__prev_t", F.lag("__t").over(kb))
     bk_last = base.groupBy(*keys, "__bk").agg(F.max("__t").alias("__last_t"))
     bk_last = bk_last.withColumn("__carry_t", F.lag("__last_t").over(bw))
-    base = base.join(bk_last.select(*keys, "__bk", "__carry_t"), [*keys, "__bk"], "left")
+    # Per-(key, bucket) summaries are small next to the events: broadcast
+    # after a bounded count.
+    base = base.join(broadcast_if_small(bk_last.select(*keys, "__bk", "__carry_t")), [*keys, "__bk"], "left")
     prev_t = F.coalesce(F.col("__prev_t"), F.col("__carry_t"))
     base = base.withColumn("__forced", F.col("__rd") | prev_t.isNull() | (F.col("__t") - prev_t >= cd))
 
@@ -70,7 +73,7 @@ def alert_cooldown(
     base = base.withColumn("__nf_local", F.min(F.when(F.col("__forced"), F.col("__o"))).over(after))
     bk_forced = base.groupBy(*keys, "__bk").agg(F.min(F.when(F.col("__forced"), F.col("__o"))).alias("__ff"))
     bk_forced = bk_forced.withColumn("__nf_carry", F.min("__ff").over(bw.rowsBetween(1, Window.unboundedFollowing)))
-    base = base.join(bk_forced.select(*keys, "__bk", "__nf_carry"), [*keys, "__bk"], "left")
+    base = base.join(broadcast_if_small(bk_forced.select(*keys, "__bk", "__nf_carry")), [*keys, "__bk"], "left")
     base = base.withColumn("__nf", F.coalesce(F.col("__nf_local"), F.col("__nf_carry")))
     base = base.drop("__prev_t", "__nf_local", "__nf_carry", "__carry_t").checkpoint(eager=True)
 
