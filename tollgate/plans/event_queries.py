@@ -24,6 +24,12 @@ def events_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _build_events(verdicts, decisions, frames)
 
 
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event sink as a table.  The J14 pipeline appends it once per
+    source state; the operator-view jobs (J15-J17) read it."""
+    return fx.stored_log(spark, sf_dir, "events", events_pipeline)
+
+
 def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events_pipeline(spark, sf_dir)
     return e.select(
@@ -34,7 +40,7 @@ def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iv = _alert_intervals(events_pipeline(spark, sf_dir))
+    iv = _alert_intervals(event_table(spark, sf_dir))
     isl = alert_islands(iv)
     return isl.select(
         F.date_format("island_start", TS_FMT).alias("island_start"),
@@ -44,12 +50,12 @@ def alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _recent(spark, events_pipeline(spark, sf_dir))
+    r = _recent(spark, event_table(spark, sf_dir))
     return r.select("id", "kind", "badge", "colour", "summary", "time_of_day", "source", "source_id")
 
 
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _alert_cooldown(events_pipeline(spark, sf_dir))
+    c = _alert_cooldown(event_table(spark, sf_dir))
     return c.select("id", "kind", "app_name", "source", "source_id", "shown")
 
 

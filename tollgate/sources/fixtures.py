@@ -251,11 +251,12 @@ def path_done(spark: SparkSession, path: str) -> bool:
     return bool(done.getFileSystem(conf).exists(done))
 
 
-def stored_log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived log ``name``, materialised once per source state."""
+def stored_log(spark: SparkSession, sf_dir: str, name: str, builder=None) -> DataFrame:
+    """The derived table ``name``, materialised once per source state
+    (``builder(spark, sf_dir)`` makes it; default: the log builders above)."""
     path = stored_path(spark, sf_dir, name)
     if not path_done(spark, path):
-        _BUILDERS[name](spark, sf_dir).write.mode("overwrite").parquet(path)
+        (builder or _BUILDERS[name])(spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
