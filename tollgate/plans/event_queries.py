@@ -27,11 +27,12 @@ def events_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event sink as a table.  The J14 pipeline appends it once per
     source state; the operator-view jobs (J15-J17) read it."""
-    return fx.stored_log(spark, sf_dir, "events", events_pipeline)
+    return fx.stored_log(spark, sf_dir, "events", events_pipeline, per_run=True)
 
 
 def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events_pipeline(spark, sf_dir)
+    """Run the pipeline into the event sink table and return it."""
+    e = event_table(spark, sf_dir)
     return e.select(
         "id", iso_timestamp(F.col("timestamp")).alias("timestamp"), "kind", "app_name", "provider_host",
         "provider_name", "what", "why", "action", "requires_decision", "model",

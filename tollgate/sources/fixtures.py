@@ -239,9 +239,13 @@ def _source_stamp(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
-def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+def stored_path(spark: SparkSession, sf_dir: str, name: str, per_run: bool = False) -> str:
+    """Folder of a derived table.  Inputs are keyed by the source state and
+    shared by later runs; ``per_run`` tables (job outputs such as the event
+    sink) are keyed by the application too, so every run computes them."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tollgate-logs/{_source_stamp(spark, sf_dir)}/{name}"
+    run = f"/{spark.sparkContext.applicationId}" if per_run else ""
+    return f"{base}/tollgate-logs/{_source_stamp(spark, sf_dir)}{run}/{name}"
 
 
 def path_done(spark: SparkSession, path: str) -> bool:
@@ -251,10 +255,10 @@ def path_done(spark: SparkSession, path: str) -> bool:
     return bool(done.getFileSystem(conf).exists(done))
 
 
-def stored_log(spark: SparkSession, sf_dir: str, name: str, builder=None) -> DataFrame:
+def stored_log(spark: SparkSession, sf_dir: str, name: str, builder=None, per_run: bool = False) -> DataFrame:
     """The derived table ``name``, materialised once per source state
     (``builder(spark, sf_dir)`` makes it; default: the log builders above)."""
-    path = stored_path(spark, sf_dir, name)
+    path = stored_path(spark, sf_dir, name, per_run=per_run)
     if not path_done(spark, path):
         (builder or _BUILDERS[name])(spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
