@@ -151,8 +151,12 @@ def remote_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         hosts.select("host", F.col("host").alias("name"), F.array().cast("array<string>").alias("paths"),
                      F.lit(False).alias("local"), F.lit(True).alias("approved"), F.lit(None).cast("long").alias("ord"))
     )
-    path = fx.stored_path(spark, sf_dir, "remote_catalogue")
-    if not fx.path_done(spark, path):
+    import uuid
+
+    root = fx.stored_path(spark, sf_dir, "remote_catalogue")
+    path = fx._completed_attempt(spark, root)
+    if path is None:
+        path = f"{root}/attempt-{uuid.uuid4().hex[:12]}"
         write_catalogue_lines(listed, path)
     return read_catalogue_lines(spark, path, "remote").withColumn("ord", F.lit(None).cast("long"))
 

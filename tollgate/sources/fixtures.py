@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .tables import table
 
-LOG_VERSION = "v1"
+LOG_VERSION = "v2"
 
 # Fixture parameters (this project's own test-log design).
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01 00:00:00 UTC in microseconds
@@ -255,13 +255,36 @@ def path_done(spark: SparkSession, path: str) -> bool:
     return bool(done.getFileSystem(conf).exists(done))
 
 
+def _completed_attempt(spark: SparkSession, path: str) -> str | None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return None
+    names = sorted(st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory())
+    for name in names:
+        if name.startswith("attempt-") and path_done(spark, f"{path}/{name}"):
+            return f"{path}/{name}"
+    return None
+
+
 def stored_log(spark: SparkSession, sf_dir: str, name: str, builder=None, per_run: bool = False) -> DataFrame:
     """The derived table ``name``, materialised once per source state
-    (``builder(spark, sf_dir)`` makes it; default: the log builders above)."""
+    (``builder(spark, sf_dir)`` makes it; default: the log builders above).
+
+    Every writer uses its own attempt folder and readers take a completed
+    one (``_SUCCESS``), so concurrent or retried writers never clobber each
+    other and a crashed partial write is ignored."""
+    import uuid
+
     path = stored_path(spark, sf_dir, name, per_run=per_run)
-    if not path_done(spark, path):
-        (builder or _BUILDERS[name])(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    done = _completed_attempt(spark, path)
+    if done is None:
+        attempt = f"{path}/attempt-{uuid.uuid4().hex[:12]}"
+        (builder or _BUILDERS[name])(spark, sf_dir).write.mode("errorifexists").parquet(attempt)
+        done = _completed_attempt(spark, path) or attempt
+    return spark.read.parquet(done)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
