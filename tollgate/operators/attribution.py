@@ -7,7 +7,8 @@ tolerance (2.0 s); otherwise 'Unknown App'.
 As-of join without a hot-key task: requests and snapshots are unioned and
 partitioned by (port, time bucket) instead of port alone, so one busy port
 is spread over many tasks.  A snapshot that may serve the next bucket
-(observed within ``tolerance`` of the bucket end) is copied into it.  One
+(observed within ``tolerance`` of the bucket end) is copied into it by a
+single ``explode``.  One
 shuffle of the rows, one sort per partition, no cross product.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.buckets import with_bucket_copies
 from ..functions.constants import APP_CACHE_TTL_SECONDS, UNKNOWN_APP
 
 
@@ -41,9 +43,11 @@ def attribute_apps(
         F.col("port").alias(port_col),
         F.unix_micros(F.col("observed_at").cast("timestamp")).alias("__t"),
         F.col("process").alias("__proc"),
-    ).withColumn("__bk", F.floor(F.col("__t") / width))
-    c_next = c.filter((F.col("__bk") + 1) * width - F.col("__t") < tol).withColumn("__bk", F.col("__bk") + 1)
-    c_all = c.unionByName(c_next).withColumn("__kind", F.lit(0)).withColumn(
+    )
+    # Snapshots within the tolerance of a bucket's end also serve the next
+    # bucket: one explode, one scan of the snapshot table.
+    c = with_bucket_copies(c, "__t", width, tol, keep=[port_col, "__proc"]).drop("__own")
+    c_all = c.withColumn("__kind", F.lit(0)).withColumn(
         "__conn", F.struct(F.col("__t").alias("t"), F.col("__proc").alias("p"))
     ).drop("__proc")
     u = r.unionByName(c_all, allowMissingColumns=True)
