@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.redact import is_opaque, redact_text
 from ..sources.tables import table
+from ..session import ship_package
 from ..sources import fixtures as fx
 from . import oracle as O
 from . import oracle_traffic as OT
@@ -127,6 +128,7 @@ def _in_utc(fn: QueryFn) -> QueryFn:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return fn(spark, sf_dir)
 
     run.__name__ = getattr(fn, "__name__", "query")
