@@ -8,7 +8,6 @@ SQL and computes the result the Spark job must return.
 from __future__ import annotations
 
 from ..functions.constants import (
-    AI_BODY_MIN_SIGNALS,
     AI_BODY_SIGNALS,
     AI_PATH_SIGNALS,
     DEFAULT_PLACEHOLDER,
@@ -148,10 +147,10 @@ def redaction_chain(src_sql: str, text_expr: str, placeholder: str = DEFAULT_PLA
                     prefix: str = "rx") -> tuple[str, str, str]:
     """CTE chain redacting ``text_expr`` of relation ``src_sql``.
 
-    Returns (ctes, final_relation_name, labels_expr, text_expr) pieces:
-    ``ctes`` is a comma-separated CTE list ending in relation ``{prefix}_end``
-    that carries all source columns plus ``{prefix}_text`` and
-    ``{prefix}_labels`` (a ', '-joined string).
+    Returns (ctes, final_relation, prefix): ``ctes`` is a comma-separated CTE
+    list ending in relation ``{prefix}_end`` that carries all source columns
+    plus ``{prefix}_text``, ``{prefix}_labels`` (a ', '-joined string) and
+    ``{prefix}_n`` (number of rules that hit).
     """
     rules = re2_rules()
     ctes = [
@@ -185,5 +184,3 @@ def ai_path_sql(path: str) -> str:
 def body_signals_sql(body: str) -> str:
     return "(" + " + ".join(f"CAST(contains({body}, {q(s)}) AS INTEGER)" for s in AI_BODY_SIGNALS) + ")"
 
-
-AI_BODY_MIN = AI_BODY_MIN_SIGNALS

@@ -16,7 +16,7 @@ from ..functions.constants import (
     DEFAULT_PROXY_PORT,
     UNKNOWN_APP,
 )
-from ..sources.fixtures import EPOCH_US, FIXTURE_HOSTS
+from ..sources.fixtures import FIXTURE_HOSTS
 from .oracle import (
     ai_path_sql,
     body_signals_sql,
