@@ -144,3 +144,13 @@ def test_guards_never_change_results():
     for ph in ("<PII 1>", "-", "x", "@"):
         for t in texts[:50] + texts[-30:]:
             assert py_redact_string(t, ph) == _unguarded(t, ph), (ph, t[:80])
+
+
+def test_multiword_placeholder_both_engines(spark):
+    ph = "[REDACTED BY PROXY]"
+    texts = ["DL(555) 123-4567", "call 415-555-0134 or mail a@b.io", "born 01/02/1990 acct 12345678"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    native = [(r["redacted_text"], list(r["redacted_fields"]))
+              for r in redact_text(df, "t", placeholder=ph).orderBy("id").collect()]
+    assert native == [py_redact_string(t, ph) for t in texts] == [_unguarded(t, ph) for t in texts]
+    assert native[0] == ("[REDACTED BY PROXY] BY PROXY]", ["US phone number", "driver license (generic)"])
