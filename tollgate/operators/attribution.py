@@ -30,9 +30,17 @@ def attribute_apps(
     tolerance_s: float = APP_CACHE_TTL_SECONDS,
     bucket_s: int = 60,
     keep_col: str | None = None,
+    strategy: str = "bucket",
+    range_partitions: int | None = None,
 ) -> DataFrame:
     """``keep_col`` (boolean column name): rows where it is true keep their
-    existing ``out_col`` value instead of the attributed one."""
+    existing ``out_col`` value instead of the attributed one.
+    ``strategy='range'``: skew-proof variant (see ``_attribute_ranged``)."""
+    if strategy == "range":
+        return _attribute_ranged(reqs, connections, port_col, ts_col, out_col, tolerance_s, keep_col,
+                                 range_partitions)
+    if strategy != "bucket":
+        raise ValueError(f"unknown strategy {strategy!r}")
     tol = int(round(tolerance_s * 1_000_000))
     width = max(int(bucket_s) * 1_000_000, tol)
     if out_col in reqs.columns:
@@ -62,3 +70,56 @@ def attribute_apps(
         attributed = F.when(F.col(keep_col), F.col("__prev_out")).otherwise(attributed)
     out = u.filter(F.col("__kind") == 1).withColumn(out_col, attributed)
     return out.drop("__t", "__bk", "__kind", "__conn", "__last", "__prev_out")
+
+
+def _attribute_ranged(reqs, connections, port_col, ts_col, out_col, tolerance_s, keep_col, n_parts):
+    """Skew-proof as-of: requests (narrow) and snapshots are range-partitioned
+    on (port, ts, kind, process) -- sampling splits a hot port, even a hot
+    instant -- the latest snapshot is taken inside (range partition, port),
+    and a partition without one takes the latest snapshot of the port's
+    earlier partitions from a small per-(partition, port) table.  The ranked
+    rows are checkpointed so every branch sees one partitioning; the answer
+    joins back to the requests by request id."""
+    from ..functions.sizing import broadcast_if_small
+    from ..session import ensure_checkpoint_dir
+
+    if "request_id" not in reqs.columns:
+        raise ValueError("the range strategy needs a request_id column")
+    tol = int(round(tolerance_s * 1_000_000))
+    narrow = reqs.select(
+        F.col(port_col).alias("__port"), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t"),
+        F.lit(1).alias("__kind"), F.lit(None).cast("string").alias("__proc"), F.col("request_id").alias("__id"),
+    )
+    snaps = connections.select(
+        F.col("port").alias("__port"), F.unix_micros(F.col("observed_at").cast("timestamp")).alias("__t"),
+        F.lit(0).alias("__kind"), F.col("process").alias("__proc"), F.lit(None).cast("long").alias("__id"),
+    )
+    n = n_parts or int(reqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(reqs.sparkSession)
+    ranged = narrow.unionByName(snaps).repartitionByRange(n, "__port", "__t", "__kind", "__proc").withColumn(
+        "__pid", F.spark_partition_id()
+    )
+    conn = F.when(F.col("__kind") == 0, F.struct(F.col("__t").alias("t"), F.col("__proc").alias("p")))
+    local = Window.partitionBy("__pid", "__port").orderBy("__t", "__kind", "__proc").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    ranged = ranged.withColumn("__conn", conn).withColumn(
+        "__last", F.last("__conn", ignorenulls=True).over(local)
+    ).checkpoint(eager=True)
+    per = ranged.groupBy("__pid", "__port").agg(F.max_by("__conn", F.col("__conn")).alias("__plast"))
+    per = per.withColumn("__carry", F.last("__plast", ignorenulls=True).over(
+        Window.partitionBy("__port").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    ))
+    ans = ranged.filter(F.col("__kind") == 1).join(
+        broadcast_if_small(per.select("__pid", "__port", "__carry")), ["__pid", "__port"], "left"
+    )
+    last = F.coalesce(F.col("__last"), F.col("__carry"))
+    ans = ans.select(
+        F.col("__id").alias("request_id"),
+        F.when(F.col("__t") - last["t"] < tol, last["p"]).otherwise(F.lit(UNKNOWN_APP)).alias("__attr"),
+    )
+    out = reqs.join(ans, "request_id", "left")
+    attributed = F.col("__attr")
+    if keep_col is not None and out_col in reqs.columns:
+        attributed = F.when(F.col(keep_col), F.col(out_col)).otherwise(attributed)
+    return out.withColumn(out_col, attributed).drop("__attr")

@@ -101,9 +101,10 @@ def burst_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attribute_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Process owning the source port, as-of with 2 s tolerance."""
+    """Process owning the source port, as-of with 2 s tolerance
+    (skew-proof range strategy: no hot port lands in one task)."""
     r = fx.requests(spark, sf_dir).select("request_id", "ts", "src_port")
-    out = _attribute_apps(r, fx.connections(spark, sf_dir))
+    out = _attribute_apps(r, fx.connections(spark, sf_dir), strategy="range")
     return out.select("request_id", "src_port", "app_name")
 
 
