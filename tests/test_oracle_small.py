@@ -46,3 +46,22 @@ def test_every_oracle_has_a_query():
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() >= 0 and "rule" in df.columns
+
+
+def test_policy_with_range_strategies_matches_oracle(spark, con):
+    from pyspark.sql import functions as F
+
+    from tollgate.plans import oracle_traffic as OT
+    from tollgate.plans.policy import policy_verdicts
+    from tollgate.sources import fixtures as fx
+
+    v = policy_verdicts(spark, fx.requests(spark, SF), fx.decisions(spark, SF), fx.connections(spark, SF),
+                        burst_strategy="range", attribution_strategy="range").select(
+        "request_id", "app_name", "rule", "allowed", "event_kind", "requires_decision", "provider_name",
+        "event_model", F.concat_ws(", ", "labels").alias("labels"), "burst_count")
+    cols = sorted(v.columns)
+    rel = con.sql(OT.POLICY)
+    dcols = list(rel.columns)
+    order = sorted(range(len(dcols)), key=lambda i: dcols[i])
+    assert digest([tuple(r[c] for c in cols) for r in v.collect()]) == \
+        digest([tuple(r[i] for i in order) for r in rel.fetchall()])
