@@ -32,6 +32,8 @@ def alert_intervals(
     restore_ms: int = ALERT_RESTORE_MS,
     alert_kinds: list[str] | None = None,
     bucket_s: int = 60,
+    strategy: str = "bucket",
+    range_partitions: int | None = None,
 ) -> DataFrame:
     """Per alert event: start and end of the 'issue' state it causes.
 
@@ -44,6 +46,10 @@ def alert_intervals(
     interval (gaps and islands) the alert belongs to.
     """
     kinds = alert_kinds or ALERT_KINDS
+    if strategy == "range":
+        return _alert_intervals_ranged(events, int(restore_ms) * 1000, kinds, range_partitions)
+    if strategy != "bucket":
+        raise ValueError(f"unknown strategy {strategy!r}")
     r_us = int(restore_ms) * 1000
     width = max(int(bucket_s) * 1_000_000, r_us)
     base = events.select(
@@ -92,6 +98,68 @@ def alert_intervals(
     )
 
 
+def _alert_intervals_ranged(events: DataFrame, r_us: int, kinds: list[str], n_parts: int | None) -> DataFrame:
+    """Skew-proof form: no time bucket becomes one task, however dense.
+
+    end(a) = first event strictly after a - restore, + restore: events and one
+    probe per alert are range-partitioned on time (sampling splits a dense
+    instant); a forward ``first`` inside each range partition finds it, and a
+    partition with no later event takes the next partitions' first event
+    from a small per-partition table.  Islands use the same scheme on the
+    alerts: lag of the end and a running max of island starts inside each
+    range partition, carried across partitions by small tables."""
+    spark = events.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ev = events.select(
+        "id", "kind", "source", "source_id", _t().alias("__t"), F.col("kind").isin(*kinds).alias("__alert")
+    )
+    pts = ev.select(F.col("__t"), F.lit(0).alias("__k"), F.lit(None).cast("string").alias("__id"))
+    probes = ev.filter("__alert").select((F.col("__t") - r_us).alias("__t"), F.lit(1).alias("__k"),
+                                         F.col("id").alias("__id"))
+    ranged = pts.unionByName(probes).repartitionByRange(n, "__t", "__k", "__id").withColumn(
+        "__pid", F.spark_partition_id()
+    )
+    fwd = Window.partitionBy("__pid").orderBy("__t", "__k", "__id").rowsBetween(
+        Window.currentRow, Window.unboundedFollowing
+    )
+    ranged = ranged.withColumn(
+        "__next", F.first(F.when(F.col("__k") == 0, F.col("__t")), ignorenulls=True).over(fwd)
+    ).checkpoint(eager=True)
+    firsts = ranged.groupBy("__pid").agg(F.min(F.when(F.col("__k") == 0, F.col("__t"))).alias("__first"))
+    firsts = firsts.withColumn("__carry", F.first("__first", ignorenulls=True).over(
+        Window.orderBy("__pid").rowsBetween(1, Window.unboundedFollowing)
+    ))  # one row per range partition
+    ends = ranged.filter(F.col("__k") == 1).join(F.broadcast(firsts.select("__pid", "__carry")), "__pid", "left")
+    ends = ends.select(F.col("__id").alias("id"),
+                       (F.coalesce(F.col("__next"), F.col("__carry")) + r_us).alias("end_us"))
+    alerts = ev.filter("__alert").join(ends, "id").select(
+        "id", "kind", "source", "source_id", F.col("__t").alias("start_us"), "end_us"
+    )
+    # Islands over the alerts in (start, source, source_id) order.
+    ar = alerts.repartitionByRange(n, "start_us", "source", "source_id").withColumn("__pid", F.spark_partition_id())
+    order = Window.partitionBy("__pid").orderBy("start_us", "source", "source_id")
+    ar = ar.withColumn("__prev_end", F.lag("end_us").over(order)).checkpoint(eager=True)
+    bw = Window.orderBy("__pid")  # one row per range partition
+    last_end = ar.groupBy("__pid").agg(F.max("end_us").alias("__last_end"))
+    last_end = last_end.withColumn("__carry_end", F.max("__last_end").over(bw.rowsBetween(Window.unboundedPreceding, -1)))
+    ar = ar.join(F.broadcast(last_end.select("__pid", "__carry_end")), "__pid", "left")
+    prev_end = F.coalesce(F.col("__prev_end"), F.col("__carry_end"))
+    ar = ar.withColumn("__new", prev_end.isNull() | (F.col("start_us") > prev_end))
+    ar = ar.withColumn("__local_island", F.max(F.when(F.col("__new"), F.col("start_us"))).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ar = ar.checkpoint(eager=True)
+    starts = ar.groupBy("__pid").agg(F.max(F.when(F.col("__new"), F.col("start_us"))).alias("__ls"))
+    starts = starts.withColumn("__carry_start", F.max("__ls").over(bw.rowsBetween(Window.unboundedPreceding, -1)))
+    ar = ar.join(F.broadcast(starts.select("__pid", "__carry_start")), "__pid", "left")
+    return ar.select(
+        "id", "kind", "source", "source_id",
+        F.timestamp_micros("start_us").alias("start"),
+        F.timestamp_micros("end_us").alias("end"),
+        F.timestamp_micros(F.coalesce(F.col("__local_island"), F.col("__carry_start"))).alias("island_start"),
+    )
+
+
 def alert_islands(intervals: DataFrame) -> DataFrame:
     """Merged 'issue' periods: island_start, island_end, n_alerts."""
     return intervals.groupBy("island_start").agg(

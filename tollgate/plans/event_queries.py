@@ -41,7 +41,7 @@ def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iv = _alert_intervals(event_table(spark, sf_dir))
+    iv = _alert_intervals(event_table(spark, sf_dir), strategy="range")
     isl = alert_islands(iv)
     return isl.select(
         F.date_format("island_start", TS_FMT).alias("island_start"),
