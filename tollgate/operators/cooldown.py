@@ -43,10 +43,18 @@ def alert_cooldown(
     cooldown_s: int = ALERT_COOLDOWN_SECONDS,
     bucket_s: int = 600,
     key_cols: tuple[str, str] = ("kind", "app_name"),
+    strategy: str = "bucket",
+    range_partitions: int | None = None,
 ) -> DataFrame:
     """Return ``events`` (all columns) with a boolean ``shown`` column.
-    Events must carry timestamp, requires_decision, source, source_id."""
+    Events must carry timestamp, requires_decision, source, source_id.
+    ``strategy='range'``: order features from range-partitioned rows, so not
+    even one (key, bucket) lands in one task."""
     ensure_checkpoint_dir(events.sparkSession)
+    if strategy == "range":
+        return _cooldown_ranged(events, int(cooldown_s) * 1_000_000, list(key_cols), range_partitions)
+    if strategy != "bucket":
+        raise ValueError(f"unknown strategy {strategy!r}")
     cd = int(cooldown_s) * 1_000_000
     width = max(int(bucket_s) * 1_000_000, 2 * cd)
     keys = list(key_cols)
@@ -89,7 +97,12 @@ def alert_cooldown(
     nxt = F.when(F.col("__nf").isNull() | (F.col("__n30") < F.col("__nf")), F.col("__n30"))
     nodes = u.select(F.col("__o").alias("node"), nxt.alias("nxt"), "__forced").checkpoint(eager=True)
 
-    # --- pointer doubling ----------------------------------------------------------
+    return _follow_chains(base, nodes)
+
+
+def _follow_chains(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """shown = forced roots + every node on their ``nxt`` chains (pointer
+    doubling: one self-join per level, then one join per level to expand)."""
     levels = [nodes.select("node", "nxt")]
     while levels[-1].filter(F.col("nxt").isNotNull()).limit(1).count() > 0:
         a = levels[-1]
@@ -107,3 +120,57 @@ def alert_cooldown(
     flagged = shown.select(F.col("node").alias("__o"), F.lit(True).alias("shown"))
     out = base.join(flagged, "__o", "left").withColumn("shown", F.coalesce(F.col("shown"), F.lit(False)))
     return out.drop("__t", "__rd", "__bk", "__o", "__forced", "__nf")
+
+
+def _cooldown_ranged(events: DataFrame, cd: int, keys: list[str], n_parts: int | None) -> DataFrame:
+    spark = events.sparkSession
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = events.withColumns({
+        "__t": F.unix_micros(F.col("timestamp").cast("timestamp")),
+        "__rd": F.coalesce(F.col("requires_decision"), F.lit(False)),
+    }).withColumn("__o", _order()).checkpoint(eager=True)
+    # Events (kind 1) and one probe per event at t + cooldown (kind 0: sorts
+    # before events at that instant, which count as "30 s later").
+    ev = base.select(*keys, "__t", F.lit(1).alias("__kind"), "__o", F.col("__o").alias("__of"), "__rd")
+    probes = base.select(*keys, (F.col("__t") + cd).alias("__t"), F.lit(0).alias("__kind"),
+                         F.col("__o"), F.col("__o").alias("__of"), F.lit(False).alias("__rd"))
+    ranged = ev.unionByName(probes).repartitionByRange(n, *keys, "__t", "__kind", "__o").withColumn(
+        "__pid", F.spark_partition_id()
+    )
+    w = Window.partitionBy("__pid", *keys).orderBy("__t", "__kind", "__o")
+    is_ev = F.col("__kind") == 1
+    ranged = ranged.withColumns({
+        "__prev_local": F.last(F.when(is_ev, F.col("__t")), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)),
+        "__n30_local": F.first(F.when(is_ev, F.col("__o")), ignorenulls=True).over(
+            w.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+    }).checkpoint(eager=True)
+    pw = Window.partitionBy(*keys).orderBy("__pid")  # per (partition, key): small
+    per = ranged.filter(is_ev).groupBy("__pid", *keys).agg(
+        F.max("__t").alias("__last_t"), F.min("__o").alias("__first_o"))
+    allp = ranged.select("__pid", *keys).distinct().join(per, ["__pid", *keys], "left")
+    allp = allp.withColumns({
+        "__carry_prev": F.last("__last_t", ignorenulls=True).over(pw.rowsBetween(Window.unboundedPreceding, -1)),
+        "__carry_next": F.first("__first_o", ignorenulls=True).over(pw.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    carry = broadcast_if_small(allp.select("__pid", *keys, "__carry_prev", "__carry_next"))
+    ranged = ranged.join(carry, ["__pid", *keys], "left")
+    prev_t = F.coalesce(F.col("__prev_local"), F.col("__carry_prev"))
+    ranged = ranged.withColumns({
+        "__forced": is_ev & (F.col("__rd") | prev_t.isNull() | (F.col("__t") - prev_t >= cd)),
+        "__n30": F.coalesce(F.col("__n30_local"), F.col("__carry_next")),
+    }).checkpoint(eager=True)
+    # Next forced event after each event (second pass, same partitions).
+    ranged = ranged.withColumn("__nf_local", F.first(F.when(F.col("__forced"), F.col("__o")), ignorenulls=True).over(
+        w.rowsBetween(1, Window.unboundedFollowing)))
+    perf = ranged.groupBy("__pid", *keys).agg(F.min(F.when(F.col("__forced"), F.col("__o"))).alias("__ff"))
+    perf = perf.withColumn("__nf_carry", F.first("__ff", ignorenulls=True).over(
+        pw.rowsBetween(1, Window.unboundedFollowing)))
+    ranged = ranged.join(broadcast_if_small(perf.select("__pid", *keys, "__nf_carry")), ["__pid", *keys], "left")
+    ranged = ranged.withColumn("__nf", F.coalesce(F.col("__nf_local"), F.col("__nf_carry"))).checkpoint(eager=True)
+    evs = ranged.filter(is_ev).select(F.col("__o").alias("node"), "__forced", "__nf")
+    n30 = ranged.filter(F.col("__kind") == 0).select(F.col("__of").alias("node"), "__n30")
+    nodes = evs.join(n30, "node")
+    nxt = F.when(F.col("__nf").isNull() | (F.col("__n30") < F.col("__nf")), F.col("__n30"))
+    nodes = nodes.select("node", nxt.alias("nxt"), "__forced").checkpoint(eager=True)
+    return _follow_chains(base, nodes)

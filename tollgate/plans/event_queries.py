@@ -56,7 +56,7 @@ def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _alert_cooldown(event_table(spark, sf_dir))
+    c = _alert_cooldown(event_table(spark, sf_dir), strategy="range")
     return c.select("id", "kind", "app_name", "source", "source_id", "shown")
 
 
