@@ -120,15 +120,18 @@ def _alert_intervals_ranged(events: DataFrame, r_us: int, kinds: list[str], n_pa
     ranged = pts.unionByName(probes).repartitionByRange(n, "__t", "__k", "__id").withColumn(
         "__pid", F.spark_partition_id()
     )
-    fwd = Window.partitionBy("__pid").orderBy("__t", "__k", "__id").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
-    )
+    # "First event at or after this row" as a running aggregate over the
+    # reversed order (frames ending at unbounded following are re-evaluated
+    # per row; running frames are incremental).
+    back = Window.partitionBy("__pid").orderBy(
+        F.col("__t").desc(), F.col("__k").desc(), F.col("__id").desc_nulls_last()
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranged = ranged.withColumn(
-        "__next", F.first(F.when(F.col("__k") == 0, F.col("__t")), ignorenulls=True).over(fwd)
+        "__next", F.last(F.when(F.col("__k") == 0, F.col("__t")), ignorenulls=True).over(back)
     ).checkpoint(eager=True)
     firsts = ranged.groupBy("__pid").agg(F.min(F.when(F.col("__k") == 0, F.col("__t"))).alias("__first"))
-    firsts = firsts.withColumn("__carry", F.first("__first", ignorenulls=True).over(
-        Window.orderBy("__pid").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.withColumn("__carry", F.last("__first", ignorenulls=True).over(
+        Window.orderBy(F.col("__pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ))  # one row per range partition
     ends = ranged.filter(F.col("__k") == 1).join(F.broadcast(firsts.select("__pid", "__carry")), "__pid", "left")
     ends = ends.select(F.col("__id").alias("id"),

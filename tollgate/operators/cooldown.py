@@ -77,10 +77,16 @@ def alert_cooldown(
     base = base.withColumn("__forced", F.col("__rd") | prev_t.isNull() | (F.col("__t") - prev_t >= cd))
 
     # --- next forced event after e -----------------------------------------------
-    after = kb.rowsBetween(1, Window.unboundedFollowing)
+    # Running frames over the reversed order: frames ending at unbounded
+    # following would be re-evaluated for every row.
+    kb_back = Window.partitionBy(*keys, "__bk").orderBy(
+        F.col("__t").desc(), F.col("source").desc(), F.col("source_id").desc()
+    )
+    after = kb_back.rowsBetween(Window.unboundedPreceding, -1)
     base = base.withColumn("__nf_local", F.min(F.when(F.col("__forced"), F.col("__o"))).over(after))
     bk_forced = base.groupBy(*keys, "__bk").agg(F.min(F.when(F.col("__forced"), F.col("__o"))).alias("__ff"))
-    bk_forced = bk_forced.withColumn("__nf_carry", F.min("__ff").over(bw.rowsBetween(1, Window.unboundedFollowing)))
+    bw_back = Window.partitionBy(*keys).orderBy(F.col("__bk").desc())
+    bk_forced = bk_forced.withColumn("__nf_carry", F.min("__ff").over(bw_back.rowsBetween(Window.unboundedPreceding, -1)))
     base = base.join(broadcast_if_small(bk_forced.select(*keys, "__bk", "__nf_carry")), [*keys, "__bk"], "left")
     base = base.withColumn("__nf", F.coalesce(F.col("__nf_local"), F.col("__nf_carry")))
     base = base.drop("__prev_t", "__nf_local", "__nf_carry", "__carry_t").checkpoint(eager=True)
@@ -91,7 +97,7 @@ def alert_cooldown(
         *keys, (F.col("__bk") - 1).alias("__bk"), "__t", "__o", F.lit(False).alias("__own")
     )
     u = own.unionByName(head, allowMissingColumns=True)
-    later = Window.partitionBy(*keys, "__bk").orderBy("__t").rangeBetween(cd, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys, "__bk").orderBy(F.col("__t").desc()).rangeBetween(Window.unboundedPreceding, -cd)
     u = u.withColumn("__n30", F.min("__o").over(later)).filter("__own")
     # Within the segment only: a forced event in between ends the chain.
     nxt = F.when(F.col("__nf").isNull() | (F.col("__n30") < F.col("__nf")), F.col("__n30"))
@@ -138,20 +144,23 @@ def _cooldown_ranged(events: DataFrame, cd: int, keys: list[str], n_parts: int |
         "__pid", F.spark_partition_id()
     )
     w = Window.partitionBy("__pid", *keys).orderBy("__t", "__kind", "__o")
+    w_back = Window.partitionBy("__pid", *keys).orderBy(F.col("__t").desc(), F.col("__kind").desc(),
+                                                          F.col("__o").desc())
     is_ev = F.col("__kind") == 1
     ranged = ranged.withColumns({
         "__prev_local": F.last(F.when(is_ev, F.col("__t")), ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, -1)),
-        "__n30_local": F.first(F.when(is_ev, F.col("__o")), ignorenulls=True).over(
-            w.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        "__n30_local": F.last(F.when(is_ev, F.col("__o")), ignorenulls=True).over(
+            w_back.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     }).checkpoint(eager=True)
     pw = Window.partitionBy(*keys).orderBy("__pid")  # per (partition, key): small
+    pw_back = Window.partitionBy(*keys).orderBy(F.col("__pid").desc())
     per = ranged.filter(is_ev).groupBy("__pid", *keys).agg(
         F.max("__t").alias("__last_t"), F.min("__o").alias("__first_o"))
     allp = ranged.select("__pid", *keys).distinct().join(per, ["__pid", *keys], "left")
     allp = allp.withColumns({
         "__carry_prev": F.last("__last_t", ignorenulls=True).over(pw.rowsBetween(Window.unboundedPreceding, -1)),
-        "__carry_next": F.first("__first_o", ignorenulls=True).over(pw.rowsBetween(1, Window.unboundedFollowing)),
+        "__carry_next": F.last("__first_o", ignorenulls=True).over(pw_back.rowsBetween(Window.unboundedPreceding, -1)),
     })
     carry = broadcast_if_small(allp.select("__pid", *keys, "__carry_prev", "__carry_next"))
     ranged = ranged.join(carry, ["__pid", *keys], "left")
@@ -161,11 +170,11 @@ def _cooldown_ranged(events: DataFrame, cd: int, keys: list[str], n_parts: int |
         "__n30": F.coalesce(F.col("__n30_local"), F.col("__carry_next")),
     }).checkpoint(eager=True)
     # Next forced event after each event (second pass, same partitions).
-    ranged = ranged.withColumn("__nf_local", F.first(F.when(F.col("__forced"), F.col("__o")), ignorenulls=True).over(
-        w.rowsBetween(1, Window.unboundedFollowing)))
+    ranged = ranged.withColumn("__nf_local", F.last(F.when(F.col("__forced"), F.col("__o")), ignorenulls=True).over(
+        w_back.rowsBetween(Window.unboundedPreceding, -1)))
     perf = ranged.groupBy("__pid", *keys).agg(F.min(F.when(F.col("__forced"), F.col("__o"))).alias("__ff"))
-    perf = perf.withColumn("__nf_carry", F.first("__ff", ignorenulls=True).over(
-        pw.rowsBetween(1, Window.unboundedFollowing)))
+    perf = perf.withColumn("__nf_carry", F.last("__ff", ignorenulls=True).over(
+        pw_back.rowsBetween(Window.unboundedPreceding, -1)))
     ranged = ranged.join(broadcast_if_small(perf.select("__pid", *keys, "__nf_carry")), ["__pid", *keys], "left")
     ranged = ranged.withColumn("__nf", F.coalesce(F.col("__nf_local"), F.col("__nf_carry"))).checkpoint(eager=True)
     evs = ranged.filter(is_ev).select(F.col("__o").alias("node"), "__forced", "__nf")
