@@ -27,6 +27,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Lineage cuts write to the shared checkpoint folder; let Spark delete
+        # those files once the DataFrames that own them are gone.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TOLLGATE_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions is not None:
