@@ -184,6 +184,6 @@ def recent_activity(spark: SparkSession, events: DataFrame, n: int = HISTORY_LEN
         F.length("what") > SUMMARY_CHARS, F.concat(F.substring("what", 1, SUMMARY_CHARS), F.lit("…"))
     ).otherwise(F.col("what"))
     return top.select(
-        "id", "kind", "badge", "colour", summary.alias("summary"),
+        "id", "kind", "badge", "colour", "description", summary.alias("summary"),
         F.date_format("timestamp", "HH:mm:ss").alias("time_of_day"), "timestamp", "source", "source_id",
     )

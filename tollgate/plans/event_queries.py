@@ -52,7 +52,7 @@ def alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _recent(spark, event_table(spark, sf_dir))
-    return r.select("id", "kind", "badge", "colour", "summary", "time_of_day", "source", "source_id")
+    return r.select("id", "kind", "badge", "colour", "description", "summary", "time_of_day", "source", "source_id")
 
 
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from ..functions.constants import ALERT_KINDS, ALERT_RESTORE_MS, DEFAULT_KIND_COLOUR, KIND_PRESENTATION
+from ..functions.constants import (
+    ALERT_KINDS,
+    ALERT_RESTORE_MS,
+    DEFAULT_KIND_COLOUR,
+    DEFAULT_KIND_DESCRIPTION,
+    KIND_PRESENTATION,
+)
 from ..operators.events import MESSAGE_TEMPLATES, _split
 from ..sources.fixtures import EPOCH_US
 from .oracle import q
@@ -96,13 +102,15 @@ FROM al3 GROUP BY island
 """
 
 _DIM = "SELECT * FROM (VALUES " + ", ".join(
-    f"({q(k)}, {q(b)}, {q(c)})" for k, b, c, _ in KIND_PRESENTATION
-) + ") AS d(kind, badge, colour)"
+    f"({q(k)}, {q(b)}, {q(c)}, {q(d) if d is not None else 'CAST(NULL AS VARCHAR)'})"
+    for k, b, c, d in KIND_PRESENTATION
+) + ") AS d(kind, badge, colour, description)"
 
 RECENT_ACTIVITY = events_ctes() + f""",
 top AS (SELECT * FROM evs ORDER BY ts DESC, source DESC, source_id DESC LIMIT 10),
 dim AS ({_DIM})
 SELECT t.id, t.kind, coalesce(d.badge, upper(t.kind)) AS badge, coalesce(d.colour, {q(DEFAULT_KIND_COLOUR)}) AS colour,
+       coalesce(d.description, {q(DEFAULT_KIND_DESCRIPTION)}) AS description,
        CASE WHEN length(t.what) > 60 THEN substring(t.what, 1, 60) || '…' ELSE t.what END AS summary,
        strftime(t.ts, '%H:%M:%S') AS time_of_day, t.source, t.source_id
 FROM top t LEFT JOIN dim d ON d.kind = t.kind
