@@ -17,9 +17,19 @@ from .policy import policy_verdicts
 from .traffic_queries import TS_FMT, custom_catalogue
 
 
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy_verdicts(spark, fx.requests(spark, sf_dir), fx.decisions(spark, sf_dir),
+                           fx.connections(spark, sf_dir))
+
+
+def verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The J8 verdict sink as a table, computed once per run."""
+    return fx.stored_log(spark, sf_dir, "verdicts", _verdicts, per_run=True)
+
+
 def events_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = fx.decisions(spark, sf_dir)
-    verdicts = policy_verdicts(spark, fx.requests(spark, sf_dir), decisions, fx.connections(spark, sf_dir))
+    verdicts = verdict_table(spark, sf_dir)
     frames = frame_events(scan_frames(spark, fx.frames(spark, sf_dir), custom=custom_catalogue(spark, sf_dir)))
     return _build_events(verdicts, decisions, frames)
 

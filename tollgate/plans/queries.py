@@ -82,8 +82,11 @@ FROM (SELECT 'documents' AS source, doc_id AS id, text AS s FROM documents
 
 
 def policy_verdicts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J8 flagship: the policy cascade over the whole derived request log."""
-    v = policy_verdicts(spark, fx.requests(spark, sf_dir), fx.decisions(spark, sf_dir), fx.connections(spark, sf_dir))
+    """J8 flagship: the policy cascade over the whole derived request log,
+    written to the verdict sink (read by the event job) and returned."""
+    from .event_queries import verdict_table
+
+    v = verdict_table(spark, sf_dir)
     return v.select(
         "request_id", "app_name", "rule", "allowed", "event_kind", "requires_decision", "provider_name",
         "event_model", F.concat_ws(", ", "labels").alias("labels"), "burst_count",
