@@ -11,9 +11,10 @@ from tollgate.sources.tables import TABLES
 from tools.oracle_check import digest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["redact_documents", "opaque_text", "resolve_hosts", "approval_snapshot", "discover_endpoints",
-         "burst_activity", "attribute_apps", "oversize_payloads", "unusual_models", "policy_verdicts",
-         "build_events", "alert_intervals", "recent_activity"]
+NAMES = ["redact_documents", "redact_pages", "redact_conversations", "opaque_text", "resolve_hosts",
+         "merge_catalogue", "ai_like_requests", "approval_snapshot", "discover_endpoints", "burst_activity",
+         "attribute_apps", "oversize_payloads", "unusual_models", "body_labels", "redact_bodies", "scan_frames",
+         "policy_verdicts", "build_events", "alert_intervals", "recent_activity", "alert_cooldown"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
