@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pack, unpack
-from .dictionary import block_words, blocks_of, shard_values, sharded, to_blocks
+from .dictionary import block_words, blocks_of, shard_values, sharded, texts_of, to_blocks
 
 #: The characters of Unicode's White_Space property.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -72,7 +72,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def count(table: pa.Table) -> dict[str, int]:
         split = splitter(path)
         words: set[str] = set()
-        for t in table.column("text").to_pylist():
+        for t in texts_of(table):
             words.update(split(t))
         return dict.fromkeys(words, 0)
 
@@ -93,25 +93,25 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         split = splitter(path)
-        texts = [split(t) for t in left.column("text").to_pylist()]
-        lists = sharded({w for words in texts for w in words}, n_shards)
-        blobs = dict(zip(right.column("shard").to_pylist(), right.column("values").to_pylist()))
         at: dict[str, int] = {}
-        lens, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for s, words in enumerate(lists):
+        rows = [
+            np.fromiter((at.setdefault(w, len(at)) for w in split(t)), np.int32) for t in texts_of(left)
+        ]
+        blobs = dict(zip(right.column("shard").to_pylist(), right.column("values").to_pylist()))
+        n, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        flat, end = [np.zeros(0, np.uint32)], 0
+        for s, words in enumerate(sharded(at, n_shards)):
             if words:
                 got = unpack(blobs[s], np.uint32)
-                lens.append(got[: len(words)])
+                lens, own = got[: len(words)].astype(np.int64), np.fromiter(map(at.__getitem__, words), np.int64)
+                n[own], starts[own] = lens, end + np.cumsum(lens) - lens
                 flat.append(got[len(words) :])
-                at.update(zip(words, range(len(at), len(at) + len(words))))
-        n = np.concatenate(lens).astype(np.int64)
-        ids, starts = np.concatenate(flat), np.cumsum(n) - n
-        look, sizes, parts = at.__getitem__, [0], []
-        for words in texts:
-            idx = np.fromiter(map(look, words), np.int64, len(words))
-            parts.append(_gather(ids, starts[idx], n[idx]))
-            sizes.append(sizes[-1] + len(parts[-1]))
-        values = np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.int32)
+                end += len(flat[-1])
+        ids = np.concatenate(flat)
+        sizes = np.cumsum([0, *(int(n[idx].sum()) for idx in rows)])
+        values = np.empty(sizes[-1], np.int32)
+        for idx, lo, hi in zip(rows, sizes, sizes[1:]):
+            values[lo:hi] = _gather(ids, starts[idx], n[idx])
         column = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
         return pa.table({"id": left.column("id"), "ids": column})
 

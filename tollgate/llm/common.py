@@ -17,7 +17,10 @@ from ..session import ensure_checkpoint_dir, ship_package
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable on executors and the checkpoint folder known."""
+    """Make the package importable on executors and the checkpoint folder
+    known.  Arrow batches hold whole texts here, so they get fewer rows than
+    Spark's default of 10,000; that changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     ship_package(spark)
     ensure_checkpoint_dir(spark)
 

@@ -15,9 +15,10 @@ input, since their numbers follow its size."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -26,10 +27,23 @@ from pyspark.sql import functions as F
 
 from .common import by_group, pieces, total_bytes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 12 << 20
 
 
+@F.pandas_udf("binary")
+def _zipped(texts: pd.Series) -> pd.Series:
+    z = zstandard.ZstdCompressor(level=3)
+    return texts.map(lambda t: z.compress((t or "").encode()))
+
+
+def texts_of(table: pa.Table) -> Iterator[str]:
+    """The texts of a block's documents, one at a time."""
+    z = zstandard.ZstdDecompressor()
+    for blob in table.column("text"):
+        yield z.decompress(blob.as_buffer()).decode()
+
+
 def pack_words(words: list[str]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(json.dumps(words, ensure_ascii=False).encode())
 
@@ -50,12 +64,12 @@ def sharded(words, n_shards: int) -> list[list[str]]:
 
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> tuple[DataFrame, int, int]:
-    """Documents dealt into blocks, and the numbers of blocks and word shards."""
+    """Documents dealt into blocks, texts compressed, and the numbers of
+    blocks and word shards."""
     n_bytes = total_bytes(docs, text_col)
     n_blocks, n_shards = pieces(n_bytes, BLOCK_BYTES), pieces(n_bytes, SHARD_BYTES)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    block = F.pmod(F.xxhash64(F.col(id_col), F.length(text)), F.lit(n_blocks)).cast("int")
-    dealt = docs.select(block.alias("block"), F.col(id_col).alias("id"), text.alias("text"), *keep)
+    block = F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(n_blocks)).cast("int")
+    dealt = docs.select(block.alias("block"), F.col(id_col).alias("id"), _zipped(text_col).alias("text"), *keep)
     return dealt.repartition(n_blocks, "block"), n_blocks, n_shards
 
 
