@@ -24,6 +24,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_group, pieces, total_bytes
 
@@ -31,7 +32,7 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 12 << 20
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _zipped(texts: pd.Series) -> pd.Series:
     z = zstandard.ZstdCompressor(level=3)
     return texts.map(lambda t: z.compress((t or "").encode()))
