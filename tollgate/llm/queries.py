@@ -34,6 +34,12 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_mixing import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def _prepared(fn: QueryFn) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
@@ -44,7 +50,7 @@ def _prepared(fn: QueryFn) -> QueryFn:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: _prepared(f) for f in (op6_bpe_codec,)}
+    return {f.__name__: _prepared(f) for f in (op6_bpe_codec, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
