@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .common import prepare
+from .oracle import JACCARD_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,12 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_mixing import score
 
@@ -50,8 +57,8 @@ def _prepared(fn: QueryFn) -> QueryFn:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: _prepared(f) for f in (op6_bpe_codec, op10_context_mixing)}
+    return {f.__name__: _prepared(f) for f in (op3_parity_sketch_join, op6_bpe_codec, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_parity_sketch_join": JACCARD_SQL}
