@@ -10,13 +10,16 @@ difference bound D cuts its sketches into a few more than D + 1 segments, so
 linked sets agree in at least one segment that holds an element (a set with
 too few such segments enters its empty ones too).  A segment spans 2^64 parity
 bits and is kept as the XOR of its elements' 64-bit codes, so equal segments
-always meet.  Segments are joined by (band, place, value).
+always meet.  Segments are joined by (band, place, value).  In order of place,
+the first segment on which two linked sets agree is among the first D + 1 of
+each that hold an element, since every earlier one differs: a set enters no
+more than that, D being the bound for its own size.
 
 Where many sets share a segment no pairs of the group are listed.  Each set is
 first compared with one partner only, the smallest member of the group it
 shares most segments with.  After joining those links to components, the
 groups that still hold several components are compared block by block,
-between components alone, through 2048-bit parity sketches.  Sets of pairs
+between components alone, through parity sketches of 512, then 2048 bits.  Sets of pairs
 that pass are compared exactly (5-grams as 64-bit codes; equal sets are told
 by a 64-bit code of the set, too).  Pairs inside one
 component need no check: they cannot change it.
@@ -120,13 +123,16 @@ def segment_keys(codes: np.ndarray) -> np.ndarray:
         low, high, d, count = _BANDS[k]
         if n > high * 5 // 4:
             break
+        most = largest_difference(n, n * 5 // 4 if k == own else high)
         place = ((codes >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)  # ascending, as the codes are
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         value, place = np.bitwise_xor.reduceat(codes, first), place[first]
-        if len(place) < d + 1:
+        if len(place) < most + 1:
             full = np.zeros(count, np.uint64)
             full[place.astype(np.int64)] = value
             value, place = full, np.arange(count, dtype=np.uint64)
+        else:
+            value, place = value[: most + 1], place[: most + 1]
         keys.append(mix(value ^ mix(place + np.uint64(k << 40))))
     return np.concatenate(keys)
 
@@ -136,33 +142,23 @@ def parity_sketch(codes: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def fingerprint(codes: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit codes of the set."""
+def fingerprint(codes: np.ndarray) -> int:
+    """The signed 64-bit code of the set."""
     a = np.bitwise_xor.reduce(codes) if len(codes) else np.uint64(0)
     b = codes.sum(dtype=np.uint64) + np.uint64(len(codes))
-    return int(mix(np.array([a]) ^ (np.array([b]) * _M))[0].astype(np.int64)), int(b.astype(np.int64))
+    return int(mix(np.array([a]) ^ (np.array([b]) * _M))[0].astype(np.int64))
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, f1, f2, sketch) of every row."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary())])
+_DEALT = pa.schema(
+    [("shard", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary()), ("id", pa.int64()), ("n", pa.int64()),
+     ("f1", pa.int64()), ("sketch", pa.binary())]
+)
 
-    def run(batches):
-        for b in batches:
-            sets = [element_codes(t) for t in b.column("text").to_pylist()]
-            prints = [fingerprint(s) for s in sets]
-            yield batch(
-                schema, b.column("id"), [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints],
-                [parity_sketch(s) if len(s) else None for s in sets],
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sketch binary")
 
-
-def segment_shards(docs: DataFrame, text_col: str, n_shards: int) -> DataFrame:
-    """(shard, keys, sets): segments packed by shard; equal sets of a map
-    task enter once."""
+def dealt(docs: DataFrame, n_shards: int) -> DataFrame:
+    """One pass over the texts, giving two kinds of rows by shard: segments,
+    packed (equal sets of a map task's turn enter once), and a row for each
+    document with its set's size, code and sketch."""
 
     def flush(held):
         keys = np.concatenate([k for k, _ in held])
@@ -172,36 +168,36 @@ def segment_shards(docs: DataFrame, text_col: str, n_shards: int) -> DataFrame:
         shard = ((keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(shard, np.arange(n_shards + 1))
         full = [s for s in range(n_shards) if cuts[s] < cuts[s + 1]]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(full, pa.int32()),
-                pa.array([pack_sorted(keys[cuts[s] : cuts[s + 1]]) for s in full], pa.binary()),
-                pa.array([sets[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()),
-            ],
-            ["shard", "keys", "sets"],
+        none = [None] * len(full)
+        yield batch(
+            _DEALT, full, [pack_sorted(keys[cuts[s] : cuts[s + 1]]) for s in full],
+            [sets[cuts[s] : cuts[s + 1]].tobytes() for s in full], none, none, none, none,
         )
 
     def run(batches):
         seen: set[int] = set()
         held, size = [], 0
         for b in batches:
-            for text in b.column(0).to_pylist():
+            found = []
+            for text in b.column("text").to_pylist():
                 codes = element_codes(text)
-                if len(codes) < SMALLEST:
-                    continue
-                f = fingerprint(codes)[0]
-                size += len(text)
-                if f not in seen:
+                f = fingerprint(codes)
+                size += len(text or "")
+                found.append((len(codes), f, parity_sketch(codes) if len(codes) else None))
+                if len(codes) >= SMALLEST and f not in seen:
                     seen.add(f)
                     held.append((segment_keys(codes), f))
+            n, f, sketch = zip(*found) if found else ((), (), ())
+            none = [None] * len(n)
+            yield batch(_DEALT, [x % n_shards for x in f], none, none, b.column("id"), n, f, sketch)
             if size > FLUSH_BYTES and held:
-                yield flush(held)
+                yield from flush(held)
                 held, size = [], 0
                 seen.clear()
         if held:
-            yield flush(held)
+            yield from flush(held)
 
-    return docs.select(text_col).mapInArrow(run, "shard int, keys binary, sets binary")
+    return docs.mapInArrow(run, "shard int, keys binary, sets binary, id long, n long, f1 long, sketch binary")
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -216,14 +212,25 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 
 def shared_segments(shards: DataFrame) -> DataFrame:
-    """Segments of two sets or more: (key, set, hub, shared), hub being the
-    smallest set there.  ``shared`` counts, on one row of each (set, hub) in a
-    shard, the segments they share in it; other rows have 0."""
-    schema = pa.schema([("key", pa.int64()), ("set", pa.int64()), ("hub", pa.int64()), ("shared", pa.int64())])
+    """The documents' rows (id, n, f1, sketch), and the segments of two sets
+    or more: (key, set, hub, shared), hub being the smallest set there.
+    ``shared`` counts, on one row of each (set, hub) in a shard, the segments
+    they share in it; other rows have 0."""
+    names = ["id", "n", "f1", "sketch", "key", "set", "hub", "shared"]
+    schema = pa.schema([(x, pa.binary() if x == "sketch" else pa.int64()) for x in names])
 
     def run(shard, held):
-        keys = np.concatenate([unpack_sorted(x) for b in held for x in b.column("keys").to_pylist()])
-        sets = np.concatenate([np.frombuffer(x, np.int64) for b in held for x in b.column("sets").to_pylist()])
+        packed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for b in held:
+            docs = b.filter(b.column("n").is_valid())
+            if docs.num_rows:
+                none = pa.nulls(docs.num_rows, pa.int64())
+                yield batch(schema, *(docs.column(x) for x in names[:4]), none, none, none, none)
+            for k, v in zip(b.column("keys").to_pylist(), b.column("sets").to_pylist()):
+                if k is not None:
+                    packed[0].append(unpack_sorted(k))
+                    packed[1].append(np.frombuffer(v, np.int64))
+        keys, sets = map(np.concatenate, packed)
         order = np.argsort(keys, kind="stable")
         keys, sets = keys[order], sets[order]
         same = keys[1:] == keys[:-1]
@@ -249,9 +256,12 @@ def shared_segments(shards: DataFrame) -> DataFrame:
             shared[order[start]] = np.diff(np.append(start, len(order)))
         for at in range(0, len(keys), 100_000):
             part = slice(at, at + 100_000)
-            yield batch(schema, keys[part].view(np.int64), sets[part], hub[part], shared[part])
+            none = [None] * len(keys[part])
+            yield batch(schema, none, none, none, none, keys[part].view(np.int64), sets[part], hub[part], shared[part])
 
-    return by_group(shards, "shard", run, "key long, set long, hub long, shared long")
+    return by_group(
+        shards, "shard", run, "id long, n long, f1 long, sketch binary, key long, set long, hub long, shared long"
+    )
 
 
 @F.pandas_udf(T.BooleanType())
@@ -261,6 +271,12 @@ def _sketches_allow(n1: pd.Series, s1: pd.Series, n2: pd.Series, s2: pd.Series)
     return pd.Series(distance <= ((n1 + n2) // 9).to_numpy())
 
 
+@F.pandas_udf(T.BinaryType())
+def _folded(sketch: pd.Series) -> pd.Series:
+    """The 512-bit parity sketch: the parts of the longer one, XORed."""
+    return sketch.map(lambda x: np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 8)).tobytes())
+
+
 @F.pandas_udf(T.BooleanType())
 def _linked(c1: pd.Series, c2: pd.Series) -> pd.Series:
     def one(x, y):
@@ -271,6 +287,19 @@ def _linked(c1: pd.Series, c2: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(c1, c2)], dtype=bool)
 
 
+def marked(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Documents whose id may be among ``reps``, so that few texts enter the
+    join after: a bitmap of 2^23 hashed ids, at most 131,072 rows of 64 bits
+    (the bound of the broadcast).  Null ids are in."""
+    place = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(1 << 23)), F.lit(0))
+    bits = reps.select(place(F.col("rep")).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
+    )
+    at = docs.withColumn("p", place(F.col("id")))
+    hit = at.join(F.broadcast(bits), F.shiftright("p", 6) == F.col("word"))
+    return hit.where("shiftright(bits, cast(p & 63 as int)) & 1L = 1").select(*docs.columns)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) pairs of classes whose whole sets have Jaccard >= 4/5.
 
@@ -281,10 +310,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     def run(batches):
         for b in batches:
             sets = [element_codes(t) for t in b.column("text").to_pylist()]
-            yield batch(schema, [fingerprint(s)[0] for s in sets], [pack(s) for s in sets])
+            yield batch(schema, [fingerprint(s) for s in sets], [pack(s) for s in sets])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct().join(classes.select("f1", "rep"), "f1")
-    texts = docs.join(wanted.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    reps = wanted.select("rep").distinct()
+    texts = marked(docs, reps).join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     sets = texts.select("text").mapInArrow(run, "set long, codes binary")
     sets = sets.join(wanted, F.col("set") == F.col("f1"), "left_semi").groupBy("set").agg(F.first("codes").alias("codes"))
     sets = stored(sets)
@@ -318,7 +348,7 @@ def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame) ->
     groups = placed.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
     ).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(groups, "key").join(classes.select("f1", "n", "sketch"), "f1")
+    rows = placed.join(groups, "key").join(classes.select("f1", "n", "small"), "f1")
     # A group of several blocks is dealt out as all pairs of its blocks.
     rows = rows.withColumn("own", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -326,14 +356,14 @@ def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame) ->
     rows = rows.select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("same"),
-        "f1", "component", "n", "sketch",
+        "f1", "component", "n", "small",
     )
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(tile, held):
         col = lambda name: np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in held])
         f, comp, n, right, same = col("f1"), col("component"), col("n"), col("right"), col("same")
-        sk = np.frombuffer(b"".join(x for b in held for x in b.column("sketch").to_pylist()), np.uint64).reshape(len(f), -1)
+        sk = np.frombuffer(b"".join(x for b in held for x in b.column("small").to_pylist()), np.uint64).reshape(len(f), -1)
         a, b = [], []
         for i in np.flatnonzero(~right):
             j = np.flatnonzero((right | same) & (comp != comp[i]) & (f != f[i]))
@@ -346,19 +376,20 @@ def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame) ->
         if a:
             yield batch(schema, np.concatenate(a), np.concatenate(b))
 
-    return by_group(rows, "tile", run, "a long, b long").distinct()
+    return allowed(by_group(rows, "tile", run, "a long, b long").distinct(), classes)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row; see the module's text."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(set_rows(docs, "id", "text"))
+    n_shards = pieces(total_bytes(docs), SHARD_BYTES)
+    both = stored(shared_segments(dealt(docs, n_shards)))
+    rows = both.where("n is not null").select("id", "n", "f1", "sketch")
+    live = both.where("key is not null").select("key", "set", "hub", "shared")
     classes = rows.where("n > 0").groupBy("f1").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    classes = stored(classes)
-    n_shards = pieces(total_bytes(docs), SHARD_BYTES)
-    live = stored(shared_segments(segment_shards(docs, "text", n_shards)))
+    classes = stored(classes.withColumn("small", _folded("sketch")))
 
     hubs = live.where("shared > 0").groupBy("set", "hub").agg(F.sum("shared").alias("shared"))
     first = hubs.groupBy(F.col("set").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
