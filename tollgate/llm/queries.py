@@ -22,6 +22,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_lm import classify
+
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import decode, encode
 
@@ -35,6 +42,12 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -57,7 +70,7 @@ def _prepared(fn: QueryFn) -> QueryFn:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: _prepared(f) for f in (op3_parity_sketch_join, op6_bpe_codec, op10_context_mixing)}
+    return {f.__name__: _prepared(f) for f in (op1_word_backoff_langid, op3_parity_sketch_join, op5_kneser_ney_quality, op6_bpe_codec, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
