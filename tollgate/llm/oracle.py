@@ -27,3 +27,22 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc
 FROM documents d LEFT JOIN sizes USING (doc_id)
 LEFT JOIN (SELECT node, min(seen) AS c FROM reach GROUP BY node) m ON m.node = d.doc_id
 """
+
+#: All pairs of whole vectors by cosine, links, and the smallest id reachable.
+COSINE_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+normed AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM vectors WHERE list_dot_product(v, v) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM normed a JOIN normed b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+reach AS (
+  SELECT DISTINCT a AS node, a AS seen FROM links
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+parts AS (SELECT node, min(seen) AS c FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN parts ON node = vec_id
+"""

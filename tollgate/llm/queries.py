@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .common import prepare
-from .oracle import JACCARD_SQL
+from .oracle import COSINE_SQL, JACCARD_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -48,12 +48,38 @@ def op1_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_pca_tiled_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    out = judge(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+        vocabulary("byte_bpe_multi_50k.tiktoken"), vocabulary("piece_bpe_32k.model"),
+    )
+    return out
+
+
+#: Production keys come from the caller's secret store; this one is public.
+PUBLIC_KEY = b"tollgate surrogates"
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace
+
+    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PUBLIC_KEY)
+
+
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_mixing import score
 
@@ -70,8 +96,11 @@ def _prepared(fn: QueryFn) -> QueryFn:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: _prepared(f) for f in (op1_word_backoff_langid, op3_parity_sketch_join, op5_kneser_ney_quality, op6_bpe_codec, op10_context_mixing)}
+    return {f.__name__: _prepared(f) for f in (
+        op1_word_backoff_langid, op2_pca_tiled_dedup, op3_parity_sketch_join, op5_kneser_ney_quality, op6_bpe_codec,
+        op8_fertility_rules, op9_surrogates, op10_context_mixing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_parity_sketch_join": JACCARD_SQL}
+    return {"op2_pca_tiled_dedup": COSINE_SQL, "op3_parity_sketch_join": JACCARD_SQL}
