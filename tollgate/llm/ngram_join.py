@@ -287,17 +287,20 @@ def _linked(c1: pd.Series, c2: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(c1, c2)], dtype=bool)
 
 
-def marked(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Documents whose id may be among ``reps``, so that few texts enter the
-    join after: a bitmap of 2^23 hashed ids, at most 131,072 rows of 64 bits
-    (the bound of the broadcast).  Null ids are in."""
+def marked(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Add ``__hit``: false where a document's id is surely not among ``ids``
+    (one column), so that few texts enter the join after.
+
+    A bitmap of 2^23 hashed ids is broadcast: at most 131,072 rows of 64 bits,
+    whatever the input.  Null ids hit."""
     place = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(1 << 23)), F.lit(0))
-    bits = reps.select(place(F.col("rep")).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")
+    bits = ids.select(place(F.col(ids.columns[0]).cast("long")).alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits")
     )
-    at = docs.withColumn("p", place(F.col("id")))
-    hit = at.join(F.broadcast(bits), F.shiftright("p", 6) == F.col("word"))
-    return hit.where("shiftright(bits, cast(p & 63 as int)) & 1L = 1").select(*docs.columns)
+    at = docs.withColumn("__p", place(F.col(id_col).cast("long")))
+    found = at.join(F.broadcast(bits), F.shiftright("__p", 6) == F.col("__word"), "left")
+    hit = F.coalesce(F.expr("shiftright(__bits, cast(__p & 63 as int)) & 1L = 1"), F.lit(False)) | F.col(id_col).isNull()
+    return found.withColumn("__hit", hit).select(*docs.columns, "__hit")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -314,7 +317,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct().join(classes.select("f1", "rep"), "f1")
     reps = wanted.select("rep").distinct()
-    texts = marked(docs, reps).join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    texts = marked(docs, reps).where("__hit").join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     sets = texts.select("text").mapInArrow(run, "set long, codes binary")
     sets = sets.join(wanted, F.col("set") == F.col("f1"), "left_semi").groupBy("set").agg(F.first("codes").alias("codes"))
     sets = stored(sets)
@@ -408,3 +411,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group, the one with its smallest id.
+
+    Rows that share an id count as one document: it goes if all of them would,
+    and stays as one row.  Documents without an id stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    special = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(
+        F.min(F.col("component_id") != F.col(id_col)).alias("__gone"), F.count("*").alias("__rows")
+    )
+    special = stored(special.where("__gone or __rows > 1"))
+    flagged = marked(docs, special.select("__id"), id_col)
+    hit = flagged.where("__hit").join(special, F.col(id_col) == F.col("__id"), "left").where("coalesce(not __gone, true)")
+    once = hit.where("coalesce(__rows, 1) = 1").select(*docs.columns)
+    several = hit.where("__rows > 1").select(*docs.columns).dropDuplicates([id_col])
+    return flagged.where("not __hit").select(*docs.columns).unionByName(once).unionByName(several)

@@ -46,3 +46,84 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN parts ON node = vec_id
 """
+
+#: Shares, a bisection of the exponent on multiples of 2^-24, quotas, and a
+#: running sum over every use of every document.
+MIXING_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS k, coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, ''))) AS mark,
+         greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) AS tokens FROM documents),
+s AS (SELECT k, CAST(sum(tokens) AS BIGINT) AS t, count(*) AS n, sum(tokens) / (SELECT CAST(sum(tokens) AS DOUBLE) FROM d) AS p FROM d GROUP BY k),
+bisect AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN fits THEN lo ELSE mid END, CASE WHEN fits THEN mid ELSE hi END
+  FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid,
+               (SELECT max(p) / min(p) FROM s) ^ (1 - (lo + hi) / 2) <= 1.5 AS fits FROM bisect WHERE step < 24)),
+a AS (SELECT CASE WHEN (SELECT max(p) / min(p) FROM s) <= 1.5 THEN 0.0 ELSE hi END AS a FROM bisect WHERE step = 24),
+w AS (SELECT k, t, n, p ^ a / (SELECT sum(p ^ a) FROM s, a) AS weight FROM s, a),
+q AS (SELECT *, weight * (SELECT max(t / weight) FROM w) AS quota, CAST(ceil(n / 1000) AS BIGINT) AS blocks FROM w),
+uses AS (
+  SELECT d.*, q.t, weight, quota, CAST('0x' || md5('mix|' || mark)[1:8] AS BIGINT) % blocks AS block,
+         unnest(range(1, CAST(greatest(ceil(quota / t - 1e-9), 1) AS BIGINT) + 1)) AS epoch
+  FROM d JOIN q USING (k)),
+runs AS (
+  SELECT *, (epoch - 1) * t + coalesce(sum(tokens) OVER (PARTITION BY k, epoch
+      ORDER BY md5('mix|' || epoch || '|' || block), block, md5('mix|' || epoch || '|' || mark), mark, tokens
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM uses),
+starts AS (SELECT *, min(before) OVER (PARTITION BY k, epoch, block) AS block_before FROM runs)
+SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, round(weight, 9) AS weight, CAST(epoch AS INTEGER) AS epoch, block,
+       round(block_before / quota, 9) AS "at"
+FROM starts WHERE before < quota * (1 + 1e-12)
+"""
+
+#: The derived records, written out again, and an as-of lookup by id.
+REVISIT_SQL = r"""
+WITH p AS (
+  SELECT coalesce(page_id, 0) AS p, url, coalesce(html, '') AS body, 1600000000 + coalesce(page_id, 0) * 7919 % 1000003 AS start FROM pages),
+t AS (SELECT *, '"' || md5(body)[1:12] || '"' AS tag, '"' || md5(body || 'v2')[1:12] || '"' AS newer, p % 3 = 0 AS second,
+             'day ' || CAST(floor(start / 86400) AS BIGINT) AS modified FROM p),
+full_responses AS (
+  SELECT p * 4 AS id, url AS uri, start AS ts, CASE WHEN p % 7 <> 0 THEN tag END AS etag, CASE WHEN p % 14 <> 0 THEN modified END AS modified, body,
+         [['Content-Type', 'text/html'], ['Content-Length', CAST(length(body) AS VARCHAR)], ['ETag', CASE WHEN p % 7 <> 0 THEN tag END],
+          ['Last-Modified', CASE WHEN p % 14 <> 0 THEN modified END], ['Cache-Control', 'max-age=60'], ['Server', 'a']] AS headers FROM t
+  UNION ALL
+  SELECT p * 4 + 1, url, start + 864000, 'W/' || newer, NULL, body || 'v2',
+         [['content-type', 'text/html'], ['etag', 'W/' || newer], ['X-Copy', '2']] FROM t WHERE second),
+revisits AS (
+  SELECT p * 4 + 2 AS id, upper(regexp_extract(url, '^[a-z]+://[^/?#]*')) || regexp_replace(url, '^[a-z]+://[^/?#]*', '') || '#part' AS uri,
+         start + 1728000 AS ts, CASE WHEN p % 5 = 0 THEN '"other"' WHEN p % 7 <> 0 THEN CASE WHEN second THEN newer ELSE tag END END AS etag, modified,
+         [['ETag', CASE WHEN p % 5 = 0 THEN '"other"' WHEN p % 7 <> 0 THEN CASE WHEN second THEN newer ELSE tag END END], ['Last-Modified', modified],
+          ['Cache-Control', 'max-age=600'], ['Content-Length', '0'], ['Connection', 'close, X-Hop'], ['X-Hop', '1'], ['Date', 't' || start]] AS headers FROM t
+  UNION ALL
+  SELECT p * 4 + 3, url, start + CASE WHEN p % 11 = 0 THEN -86400 ELSE 432000 END, 'W/' || tag, NULL, [['ETag', 'W/' || tag]] FROM t),
+every AS (SELECT id, uri, ts, etag, modified, body, list_filter(headers, lambda h: h[2] IS NOT NULL) AS headers, TRUE AS is_full FROM full_responses
+          UNION ALL SELECT id, uri, ts, etag, modified, NULL, list_filter(headers, lambda h: h[2] IS NOT NULL), FALSE FROM revisits),
+bare AS (SELECT *, regexp_replace(trim(uri), '#.*$', '') AS u FROM every),
+split AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)(.*)$', 1)) AS scheme,
+  regexp_replace(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)(.*)$', 2)), '^.*@', '') AS host,
+  regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)(.*)$', 3) AS rest FROM bare),
+named AS (SELECT *, CASE WHEN scheme = '' THEN u ELSE scheme || '://' ||
+    CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END ||
+    CASE WHEN regexp_extract(rest, '^[^?]*') = '' THEN '/' ELSE regexp_extract(rest, '^[^?]*') END ||
+    CASE WHEN regexp_extract(rest, '^[^?]*[?](.*)$', 1) = '' THEN '' ELSE
+      '?' || array_to_string(list_sort(string_split(regexp_extract(rest, '^[^?]*[?](.*)$', 1), '&')), '&') END END AS url FROM split),
+refs AS (
+  SELECT r.id AS rid, max(struct_pack(ts := f.ts, id := f.id)).id AS ref_id
+  FROM named r JOIN named f ON f.is_full AND NOT r.is_full AND f.url = r.url AND f.ts < r.ts GROUP BY r.id),
+judged AS (
+  SELECT r.id AS record_id, r.url, ref_id, r.headers AS new, f.headers AS old, f.body,
+         CASE WHEN r.url IS NULL THEN 'unplaced' WHEN ref_id IS NULL THEN 'no_earlier_response'
+              WHEN r.etag IS NOT NULL AND f.etag IS NOT NULL THEN
+                CASE WHEN regexp_replace(r.etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') THEN 'resolved' ELSE 'validator_mismatch' END
+              WHEN r.modified IS NOT NULL AND f.modified IS NOT NULL THEN
+                CASE WHEN r.modified = f.modified THEN 'resolved' ELSE 'validator_mismatch' END
+              ELSE 'no_validator' END AS outcome
+  FROM named r LEFT JOIN refs ON rid = r.id LEFT JOIN named f ON f.is_full AND f.id = ref_id WHERE NOT r.is_full),
+updates AS (SELECT *, list_filter(new, lambda h: lower(h[1]) NOT IN ('content-length', 'connection', 'x-hop')) AS up FROM judged),
+final AS (SELECT *, CASE WHEN outcome = 'resolved' THEN
+    list_concat(list_filter(old, lambda h: NOT list_contains(list_transform(up, lambda g: lower(g[1])), lower(h[1]))), up) ELSE new END AS hs FROM updates)
+SELECT record_id, url, ref_id, outcome, sha256(array_to_string(list_transform(hs, lambda h: h[1] || ': ' || h[2]), chr(13) || chr(10))) AS headers_sha256,
+       CASE WHEN outcome = 'resolved' THEN sha256(body) END AS payload_sha256
+FROM final
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .common import prepare
-from .oracle import COSINE_SQL, JACCARD_SQL
+from .oracle import COSINE_SQL, JACCARD_SQL, MIXING_SQL, REVISIT_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The most often that a source's documents are used.
+MAX_REPEATS = 1.5
+
+
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import schedule
+
+    out = schedule(table(spark, sf_dir, "documents"), max_repeats=MAX_REPEATS)
+    return out.select("doc_id", "source", "tokens", F.round("weight", 9).alias("weight"), "epoch", "block", F.round("at", 9).alias("at"))
+
+
 def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_lm import classify
 
@@ -60,6 +71,17 @@ def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import header_block, page_records, resolve
+
+    out = resolve(page_records(table(spark, sf_dir, "pages")))
+    return out.select(
+        "record_id", "url", "ref_id", "outcome",
+        F.sha2(header_block(F.col("headers")).cast("binary"), 256).alias("headers_sha256"),
+        F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"),
+    )
+
+
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -97,10 +119,16 @@ def _prepared(fn: QueryFn) -> QueryFn:
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: _prepared(f) for f in (
-        op1_word_backoff_langid, op2_pca_tiled_dedup, op3_parity_sketch_join, op5_kneser_ney_quality, op6_bpe_codec,
+        op1_word_backoff_langid, op2_pca_tiled_dedup, op3_parity_sketch_join, op4_temperature_mixing,
+        op5_kneser_ney_quality, op6_bpe_codec, op7_revisit_resolution,
         op8_fertility_rules, op9_surrogates, op10_context_mixing,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pca_tiled_dedup": COSINE_SQL, "op3_parity_sketch_join": JACCARD_SQL}
+    return {
+        "op2_pca_tiled_dedup": COSINE_SQL,
+        "op3_parity_sketch_join": JACCARD_SQL,
+        "op4_temperature_mixing": MIXING_SQL,
+        "op7_revisit_resolution": REVISIT_SQL,
+    }
