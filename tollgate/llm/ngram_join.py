@@ -19,8 +19,9 @@ Where many sets share a segment no pairs of the group are listed.  Each set is
 first compared with one partner only, the smallest member of the group it
 shares most segments with.  After joining those links to components, the
 groups that still hold several components are compared block by block,
-between components alone, through parity sketches of 512, then 2048 bits.  Sets of pairs
-that pass are compared exactly (5-grams as 64-bit codes; equal sets are told
+between components alone, through parity sketches of four bits or more for
+each element: for two rounds each set with its closest candidate, then with
+all that are left.  Sets of pairs that pass are compared exactly (5-grams as 64-bit codes; equal sets are told
 by a 64-bit code of the set, too).  Pairs inside one
 component need no check: they cannot change it.
 
@@ -45,7 +46,10 @@ from pyspark.sql import types as T
 from .common import batch, by_group, connected_components, pack, pieces, stored, total_bytes, unpack
 
 WORDS = 5
-SKETCH_BITS = 2048
+#: A sketch has the next power of two over four bits for each element, within these.
+SKETCH_BITS = (512, 65_536)
+#: Rounds in which a set is compared with its closest candidate only.
+CLOSEST_ROUNDS = 2
 BAND_RATIO = 1.5
 SMALLEST = 4  # smaller sets only link with equal ones
 #: Text that gives about a million segments.
@@ -138,10 +142,23 @@ def segment_keys(codes: np.ndarray) -> np.ndarray:
 
 
 def parity_sketch(codes: np.ndarray) -> bytes:
-    bits = np.bincount((mix(codes) >> np.uint64(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    size = min(SKETCH_BITS[1], max(SKETCH_BITS[0], 1 << (4 * len(codes) - 1).bit_length()))
+    bits = np.bincount((mix(codes) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (last axis: 64-bit words) as the shorter sketches of the same
+    sets: the parity of a place modulo the shorter length."""
+    return np.bitwise_xor.reduce(sketch.reshape(*sketch.shape[:-1], -1, words), axis=-2)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two sketches at the shorter one's length."""
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+
+
 def fingerprint(codes: np.ndarray) -> int:
     """The signed 64-bit code of the set."""
     a = np.bitwise_xor.reduce(codes) if len(codes) else np.uint64(0)
@@ -266,15 +283,9 @@ def shared_segments(shards: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def _sketches_allow(n1: pd.Series, s1: pd.Series, n2: pd.Series, s2: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (s1, s2))
-    distance = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) if len(x) else np.zeros(0, np.int64)
-    return pd.Series(distance <= ((n1 + n2) // 9).to_numpy())
-
-
-@F.pandas_udf(T.BinaryType())
-def _folded(sketch: pd.Series) -> pd.Series:
-    """The 512-bit parity sketch: the parts of the longer one, XORed."""
-    return sketch.map(lambda x: np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 8)).tobytes())
+    words = lambda x: np.frombuffer(x, np.uint64)
+    most = ((n1 + n2) // 9).tolist()
+    return pd.Series([distance(words(x), words(y)) <= m for x, y, m in zip(s1, s2, most)], dtype=bool)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -342,16 +353,17 @@ def allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.where(_sketches_allow("n_a", "sketch_a", "n_b", "sketch_b")).select("a", "b")
 
 
-def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs that share a segment, lie in different components and
-    whose sizes and sketches allow a link."""
+def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame, closest: bool) -> DataFrame:
+    """Pairs (a, b) that share a segment, lie in different components and
+    whose sizes and sketches allow a link: all of them, or each set's closest
+    by the sketches."""
     placed = live.select("key", F.col("set").alias("f1")).join(
         parts.select(F.col("node").alias("f1"), "component"), "f1", "left"
     ).withColumn("component", F.coalesce("component", "f1"))
     groups = placed.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
     ).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(groups, "key").join(classes.select("f1", "n", "small"), "f1")
+    rows = placed.join(groups, "key").join(classes.select("f1", "n", "sketch"), "f1")
     # A group of several blocks is dealt out as all pairs of its blocks.
     rows = rows.withColumn("own", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -359,27 +371,57 @@ def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame) ->
     rows = rows.select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("same"),
-        "f1", "component", "n", "small",
+        "f1", "component", "n", "sketch",
     )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.float64())])
 
     def run(tile, held):
         col = lambda name: np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in held])
-        f, comp, n, right, same = col("f1"), col("component"), col("n"), col("right"), col("same")
-        sk = np.frombuffer(b"".join(x for b in held for x in b.column("small").to_pylist()), np.uint64).reshape(len(f), -1)
-        a, b = [], []
+        f, comp, n = col("f1"), col("component"), col("n")
+        right, same = col("right").astype(bool), col("same").astype(bool)
+        raw = [np.frombuffer(x, np.uint64) for b in held for x in b.column("sketch").to_pylist()]
+        length = np.array([len(x) for x in raw])
+        levels: dict[tuple[int, int], np.ndarray] = {}
+
+        def level(size, words):
+            """The sketches of one length, at a shorter one."""
+            if (size, words) not in levels:
+                levels[size, words] = folded(np.stack([raw[k] for k in np.flatnonzero(length == size)]), words)
+            return levels[size, words]
+
+        place = np.zeros(len(f), np.int64)
+        for size in set(length.tolist()):
+            place[length == size] = np.arange((length == size).sum())
+        best: dict[int, tuple[float, int]] = {}
+        out = [], [], []
         for i in np.flatnonzero(~right):
-            j = np.flatnonzero((right | same) & (comp != comp[i]) & (f != f[i]))
+            j = np.flatnonzero((right | same) & (comp != comp[i]))
             j = j[~(same[j] & same[i]) | (f[j] > f[i])]
             j = j[np.maximum(n[j], n[i]) * 4 <= np.minimum(n[j], n[i]) * 5]
-            j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(1, dtype=np.int64) <= (n[j] + n[i]) // 9]
-            if len(j):
-                a.append(np.minimum(f[i], f[j]))
-                b.append(np.maximum(f[i], f[j]))
-        if a:
-            yield batch(schema, np.concatenate(a), np.concatenate(b))
-
-    return allowed(by_group(rows, "tile", run, "a long, b long").distinct(), classes)
+            for size in set(length[j].tolist()):
+                jj = j[length[j] == size]
+                words = min(size, length[i])
+                d = np.bitwise_count(level(size, words)[place[jj]] ^ folded(raw[i], words)).sum(1, dtype=np.int64)
+                on = d <= (n[jj] + n[i]) // 9
+                jj, far = jj[on], d[on] / (n[jj[on]] + n[i])
+                if closest:
+                    for k, x in zip(jj.tolist(), far.tolist()):
+                        best[i] = min(best.get(i, (9.0, 0)), (x, int(f[k])))
+                        best[k] = min(best.get(k, (9.0, 0)), (x, int(f[i])))
+                elif len(jj):
+                    out[0].append(np.minimum(f[i], f[jj]))
+                    out[1].append(np.maximum(f[i], f[jj]))
+                    out[2].append(far)
+        if best:
+            yield batch(schema, f[list(best)], [b for _, b in best.values()], [x for x, _ in best.values()])
+        if out[0]:
+            yield batch(schema, *map(np.concatenate, out))
+
+    found = by_group(rows, "tile", run, "a long, b long, far double")
+    if closest:
+        found = found.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,15 +434,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0").groupBy("f1").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    classes = stored(classes.withColumn("small", _folded("sketch")))
+    classes = stored(classes)
 
     hubs = live.where("shared > 0").groupBy("set", "hub").agg(F.sum("shared").alias("shared"))
     first = hubs.groupBy(F.col("set").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
     links = stored(verified(stored(allowed(first, classes)), classes, docs))
     parts = connected_components(links, "a", "b")
-    more = stored(between_components(live, parts, classes))
-    links = links.unionByName(verified(more, classes, docs))
-    parts = connected_components(links, "a", "b")
+    for turn in range(CLOSEST_ROUNDS + 1):
+        more = stored(between_components(live, parts, classes, closest=turn < CLOSEST_ROUNDS))
+        if not more.take(1):
+            break
+        links = stored(links.unionByName(verified(more, classes, docs)))
+        parts = connected_components(links, "a", "b")
 
     placed = classes.select("f1", "rep").join(parts.withColumnRenamed("node", "f1"), "f1", "left")
     placed = placed.withColumn("component", F.coalesce("component", "f1"))
