@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,28 @@ def by_group(
     return dealt.sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def share(df: DataFrame):
+    """Broadcast a table of bounded size as compressed Arrow bytes, so the
+    driver keeps no objects of its rows."""
+    table, sink = df.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+_BUILT: dict[int, object] = {}
+
+
+def built(shared, make: Callable[[pa.Table], object]):
+    """What ``make`` builds from a shared table, once per worker process."""
+    key = xxhash.xxh3_64_intdigest(shared.value)
+    if key not in _BUILT:
+        if len(_BUILT) > 3:
+            _BUILT.clear()
+        _BUILT[key] = make(pa.ipc.open_stream(shared.value).read_all())
+    return _BUILT[key]
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an undirected edge list; the
     component is its smallest node.

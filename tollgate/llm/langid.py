@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc
+from .common import built, id_crc, share
 
 ORDER = 5
 PENALTY = -7.0
@@ -57,8 +57,8 @@ def grams(word: str, n: int) -> list[str]:
 def fit(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id",
     max_docs: int = 5_000, max_words: int = 20_000, max_grams: int = 10_000,
-) -> "Model":
-    """Fit on rows with a text and a label."""
+):
+    """The broadcast rows of a ``Model``, fitted on rows with a text and a label."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key_col).alias("h")
     )
@@ -102,17 +102,18 @@ def fit(
         "rank", F.row_number().over(by.orderBy(F.desc("c"), "item"))
     )
     kept = kept.where(F.col("rank") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-    return Model(kept.select("lang", "n", "item", F.log10(F.col("c") / F.col("total")).alias("v")).toPandas())
+    return share(kept.select("lang", "n", "item", F.log10(F.col("c") / F.col("total")).alias("v")))
 
 
 class Model:
     """Score vectors (one place per language) of words and n-grams."""
 
-    def __init__(self, table: pd.DataFrame):
-        self.langs = sorted(table["lang"].unique().tolist())
+    def __init__(self, table: pa.Table):
+        columns = [table.column(x).to_pylist() for x in ("lang", "n", "item", "v")]
+        self.langs = sorted(set(columns[0]))
         place = {x: i for i, x in enumerate(self.langs)}
         self.levels: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
-        for lang, n, item, v in table.itertuples(index=False):
+        for lang, n, item, v in zip(*columns):
             vector = self.levels[n].get(item)
             if vector is None:
                 vector = self.levels[n][item] = np.full(len(self.langs), PENALTY)
@@ -153,9 +154,8 @@ class WordScores(dict):
         return self.n - 1
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, shared, text_col: str = "text") -> DataFrame:
+    """Add ``lang_pred`` and ``score`` by a model that ``fit`` returned."""
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def one(text, scores):
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf(kind)
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scores = WordScores(shared.value)
+        scores = WordScores(built(shared, Model))
         for texts in batches:
             yield pd.DataFrame([one(t, scores) for t in texts], columns=["lang", "score"])
 
