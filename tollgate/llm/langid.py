@@ -62,8 +62,8 @@ def fit(
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key_col).alias("h")
     )
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(max_docs) / F.count("*")).alias("share"))
-    sample = rows.join(share, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(max_docs) / F.count("*")).alias("share"))
+    sample = rows.join(shares, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("item", pa.string()), ("c", pa.int64())])
 
     def run(batches):
