@@ -46,7 +46,10 @@ def merge_catalogue(builtin: DataFrame, custom: DataFrame, remote: DataFrame) ->
     keeps it distributed, with the known hosts broadcast after a bounded
     count."""
     known = broadcast_if_small(builtin.select("host").unionByName(custom.select("host")))
-    added = remote.join(known, "host", "left_anti").withColumn("origin", F.lit("remote"))
+    rest = [c for c in remote.columns if c != "host"]
+    # A host listed twice counts once, by its last entry.
+    last = remote.groupBy("host").agg(F.max_by(F.struct(*rest), "ord").alias("e")).select("host", "e.*")
+    added = last.join(known, "host", "left_anti").withColumn("origin", F.lit("remote"))
     cols = ["host", "name", "paths", "local", "approved", "origin", "ord"]
     out = builtin.select(*cols).unionByName(custom.select(*cols)).unionByName(added.select(*cols))
     rank = F.create_map(*[x for k, v in ORIGIN_RANK.items() for x in (F.lit(k), F.lit(v))])

@@ -60,9 +60,9 @@ ev_dec AS (
          ts, kind, app, host, name,
          CASE WHEN kind = 'approved' THEN 'Approved: ' ELSE 'Denied: ' END
            || CASE WHEN name <> '' THEN name ELSE app END || '.' AS what,
-         CASE WHEN kind = 'approved' THEN 'This was allowed by choice.' ELSE 'This was blocked by choice.' END AS why,
-         CASE WHEN kind = 'approved' THEN 'Future requests will be allowed automatically.'
-              ELSE 'Future requests from this source will be blocked.' END AS action,
+         CASE WHEN kind = 'approved' THEN 'Decision recorded: approve.' ELSE 'Decision recorded: deny.' END AS why,
+         CASE WHEN kind = 'approved' THEN 'It applies from its own time on.'
+              ELSE 'It applies from its own time on, until changed.' END AS action,
          FALSE AS requires_decision, '' AS model, '' AS redacted_fields,
          'decision' AS source, CAST(decision_id AS BIGINT) AS source_id
   FROM (SELECT *, CASE WHEN verdict = 'approve' THEN 'approved' ELSE 'denied' END AS kind,

@@ -62,10 +62,12 @@ def opaque_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("s")
     )
-    pages = table(spark, sf_dir, "pages").select(
-        F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("url").alias("s")
-    )
-    both = docs.unionByName(pages)
+    pages = table(spark, sf_dir, "pages")
+    both = docs
+    for column in ("url", "html"):
+        both = both.unionByName(
+            pages.select(F.lit(f"pages.{column}").alias("source"), F.col("page_id").alias("id"), F.col(column).alias("s"))
+        )
     return both.select(
         "source", "id", F.coalesce(is_opaque(F.col("s")), F.lit(False)).alias("opaque"),
         F.length("s").cast("long").alias("n_chars"),
@@ -77,7 +79,8 @@ SELECT source, id, coalesce(length(s) > {O.OPAQUE_MIN_LENGTH} AND NOT contains(s
        AND regexp_full_match(s, {O.q('[' + O.OPAQUE_CHARSET + ']+')}), FALSE) AS opaque,
        CAST(length(s) AS BIGINT) AS n_chars
 FROM (SELECT 'documents' AS source, doc_id AS id, text AS s FROM documents
-      UNION ALL SELECT 'pages', page_id, url FROM pages)
+      UNION ALL SELECT 'pages.url', page_id, url FROM pages
+      UNION ALL SELECT 'pages.html', page_id, html FROM pages)
 """
 
 
