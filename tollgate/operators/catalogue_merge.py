@@ -48,7 +48,8 @@ def merge_catalogue(builtin: DataFrame, custom: DataFrame, remote: DataFrame) ->
     known = broadcast_if_small(builtin.select("host").unionByName(custom.select("host")))
     rest = [c for c in remote.columns if c != "host"]
     # A host listed twice counts once, by its last entry.
-    last = remote.groupBy("host").agg(F.max_by(F.struct(*rest), "ord").alias("e")).select("host", "e.*")
+    order = F.coalesce(F.col("ord"), F.lit(-1)).alias("place")
+    last = remote.groupBy("host").agg(F.max(F.struct(order, F.struct(*rest).alias("e"))).alias("m")).select("host", "m.e.*")
     added = last.join(known, "host", "left_anti").withColumn("origin", F.lit("remote"))
     cols = ["host", "name", "paths", "local", "approved", "origin", "ord"]
     out = builtin.select(*cols).unionByName(custom.select(*cols)).unionByName(added.select(*cols))
