@@ -16,6 +16,7 @@ rules, as do empty ones.  Null and repeated ids are kept; other columns are
 ignored."""
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
+#: Words whose tokens a task remembers.
+MOST_WORDS = 500_000
 LEAST_TRUSTED = 50
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 
@@ -58,35 +61,78 @@ def byte_bpe(path: str):
     return _LOADED[path]
 
 
-def repeated_words(words: list) -> int:
-    """Words in 3-word windows found twice or more, each word once."""
-    n = len(words)
+def repeated_words(w: np.ndarray) -> int:
+    """Words in 3-word windows found twice or more, each word once, of a text
+    given by its words' numbers."""
+    n = len(w)
     if n < 4:
         return 0
-    at: dict = {}
-    w = np.fromiter((at.setdefault(x, len(at)) for x in words), np.int64, n)
-    m = len(at)
+    m = int(w.max()) + 1
     if m < 2_000_000:  # three word numbers fit in 63 bits
         key = (w[:-2] * m + w[1:-1]) * m + w[2:]
     else:
         _, pair = np.unique(w[:-1] * m + w[1:], return_inverse=True)
-        key = pair[:-1] * (m + 1) + w[2:]
-    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-    again = np.flatnonzero(count[which] > 1)
+        key = pair[:-1] * m + w[2:]
+    order = np.argsort(key)
+    same = np.diff(key[order]) == 0
+    if not same.any():
+        return 0
+    again = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
     hit = np.zeros(n, bool)
     for k in range(3):
         hit[again + k] = True
     return int(hit.sum())
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    raw = (text or "").encode()
-    words = raw.split()
+def base_counts(text: str | None, raw: bytes) -> tuple[int, int, int]:
+    """word_chars, n_symbols and n_dup_lines of a text and its UTF-8 form."""
     spaces = len(raw) - len(raw.translate(None, SPACE))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
-    return len(words), len(text or "") - spaces, symbols, len(lines) - len(set(lines)), repeated_words(words)
+    return len(text or "") - spaces, symbols, len(lines) - len(set(lines))
+
+
+class Words:
+    """Numbers of words, with their tokens in both vocabularies; emptied
+    between batches when it holds ``MOST_WORDS`` or more."""
+
+    def __init__(self, bpe_path: str, fallback_path: str):
+        self.bpe, (self.pieces, self.low, self.high) = byte_bpe(bpe_path), fallback_bpe(fallback_path)
+        self.clear()
+
+    def clear(self):
+        self.number: dict[bytes, int] = {}
+        self.bpe_tokens = self.start = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)  # the fallback vocabulary's tokens, word after word
+
+    def add(self, texts: list[list[bytes]]) -> None:
+        if len(self.number) >= MOST_WORDS:
+            self.clear()
+        new = list(dict.fromkeys(w for words in texts for w in words if w not in self.number))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        bpe, flat, length = [], [], []
+        for at in range(0, len(new), 5000):
+            some = [w.decode() for w in new[at : at + 5000]]
+            ids = self.pieces.encode(some, num_threads=1)
+            length += map(len, ids)
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32))
+            bpe += [len(self.bpe.encode_ordinary(" " + w)) for w in some]
+        end = len(self.flat) + np.cumsum(np.array(length, np.int64))
+        self.start = np.concatenate([self.start[:-1], [len(self.flat)], end]).astype(np.int64)
+        self.flat = np.concatenate([self.flat, *flat])
+        self.bpe_tokens = np.concatenate([self.bpe_tokens, np.array(bpe, np.int64)])
+
+    def measures(self, w: np.ndarray, chars: int) -> tuple[float, float, float]:
+        """The three measures of a text's word numbers."""
+        once, times = np.unique(w, return_counts=True)
+        length = self.start[once + 1] - self.start[once]
+        before = np.cumsum(length) - length
+        ids = self.flat[np.arange(length.sum()) + np.repeat(self.start[once] - before, length)]
+        hits = np.bincount(ids, np.repeat(times, length))
+        total = hits.sum()
+        p = hits[hits > 0] / max(total, 1)
+        of_bytes = hits[self.low : self.high + 1].sum()
+        return chars / max(self.bpe_tokens[w].sum(), 1), of_bytes / max(total, 1), float(-(p * np.log2(p)).sum())
 
 
 def script_of(text: str | None) -> str:
@@ -107,37 +153,17 @@ def measure(docs: DataFrame, bpe_path: str, fallback_path: str) -> DataFrame:
 
     @F.pandas_udf(kind)
     def all_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe, (pieces, low, high) = byte_bpe(bpe_path), fallback_bpe(fallback_path)
-        known: dict[str, int] = {}
-        counts = np.zeros((1 << 10, 3), np.int64)  # BPE tokens, fallback vocabulary's tokens, byte tokens
-        tokens: list[np.ndarray] = []
+        known = Words(bpe_path, fallback_path)
         for texts in batches:
-            if len(known) > 200_000:
-                known.clear()
-                tokens.clear()
-            words_of = [t.split() if t else [] for t in texts]
-            new = list(dict.fromkeys(w for words in words_of for w in words if w not in known))
-            for at in range(0, len(new), 5000):
-                some = new[at : at + 5000]
-                need = len(tokens) + len(some)
-                if need > len(counts):
-                    counts = np.concatenate([counts, np.zeros((max(need, 2 * len(counts)) - len(counts), 3), np.int64)])
-                for w, ids in zip(some, pieces.encode(some, num_threads=1)):
-                    ids = np.array(ids, np.int32)
-                    i = known[w] = len(tokens)
-                    counts[i] = len(bpe.encode_ordinary(" " + w)), len(ids), int(((ids >= low) & (ids <= high)).sum())
-                    tokens.append(ids)
+            raw = [(t or "").encode() for t in texts]
+            words_of = [x.split() for x in raw]
+            known.add(words_of)
             rows = []
-            for text, words in zip(texts, words_of):
-                base = base_counts(text)
-                values = (None, None, None)
-                if words:
-                    idx = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                    n, k, b = counts[idx].sum(0)
-                    hits = np.bincount(np.concatenate([tokens[i] for i in idx.tolist()]))
-                    p = hits[hits > 0] / max(k, 1)
-                    values = (base[1] / max(n, 1), b / max(k, 1), float(-(p * np.log2(p)).sum()))
-                rows.append((*base, script_of(text), *values))
+            for text, own, words in zip(texts, raw, words_of):
+                base = base_counts(text, own)
+                w = np.fromiter(map(known.number.__getitem__, words), np.int64, len(words))
+                values = known.measures(w, base[0]) if words else (None, None, None)
+                rows.append((len(words), *base, repeated_words(w), script_of(text), *values))
             yield pd.DataFrame(rows, columns=[*names, "script", *MEASURES])
 
     return docs.withColumn("__m", all_of("text")).select(*docs.columns, "__m.*")
