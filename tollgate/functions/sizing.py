@@ -26,3 +26,12 @@ def broadcast_if_small(
         return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``keys``, null keys being equal; ``left``'s keys stay."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(right, cond, how).drop(*(f"__r_{k}" for k in keys))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import broadcast_if_small, join_null_safe
 from ..session import ensure_checkpoint_dir
 
 from ..functions.buckets import with_bucket_copies
@@ -122,7 +122,7 @@ def _burst_counts_ranged(df, app_col, ts_col, id_col, window_s, threshold, eligi
             Window.partitionBy("__app").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
         ), F.lit(0))
     )
-    ranked = ranged.join(broadcast_if_small(totals.select("__pid", "__app", "__off")), ["__pid", "__app"])
+    ranked = join_null_safe(ranged, broadcast_if_small(totals.select("__pid", "__app", "__off")), ["__pid", "__app"], "inner")
     ranked = ranked.withColumn("__rank", F.col("__local") + F.col("__off"))
     real = ranked.filter((F.col("__kind") == 1) & F.col("__own")).select("__id", F.col("__rank").alias("__r"))
     older = ranked.filter(F.col("__kind") == 0).select("__id", F.col("__rank").alias("__rp"))

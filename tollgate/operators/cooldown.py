@@ -14,7 +14,8 @@ Exact distributed form:
 * shown = forced roots plus every node on their ``next`` chains.  Chains
   are followed by pointer doubling: J_{k+1} = J_k o J_k (one join per
   level, log2(longest chain) levels), then the roots expand through the
-  levels from the highest down (one join per level).  Every join is keyed
+  levels from the highest down (one join per level).  A level holds only
+  nodes that still have a pointer, so levels shrink.  Every join is keyed
   by the unique event key, so no key is hot.
 
 Per-key order features (previous event, next forced event) come from
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import ALERT_COOLDOWN_SECONDS
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import broadcast_if_small, join_null_safe
 from ..session import ensure_checkpoint_dir
 
 
@@ -72,7 +73,7 @@ def alert_cooldown(
     bk_last = bk_last.withColumn("__carry_t", F.lag("__last_t").over(bw))
     # Per-(key, bucket) summaries are small next to the events: broadcast
     # after a bounded count.
-    base = base.join(broadcast_if_small(bk_last.select(*keys, "__bk", "__carry_t")), [*keys, "__bk"], "left")
+    base = join_null_safe(base, broadcast_if_small(bk_last.select(*keys, "__bk", "__carry_t")), [*keys, "__bk"])
     prev_t = F.coalesce(F.col("__prev_t"), F.col("__carry_t"))
     base = base.withColumn("__forced", F.col("__rd") | prev_t.isNull() | (F.col("__t") - prev_t >= cd))
 
@@ -87,7 +88,7 @@ def alert_cooldown(
     bk_forced = base.groupBy(*keys, "__bk").agg(F.min(F.when(F.col("__forced"), F.col("__o"))).alias("__ff"))
     bw_back = Window.partitionBy(*keys).orderBy(F.col("__bk").desc())
     bk_forced = bk_forced.withColumn("__nf_carry", F.min("__ff").over(bw_back.rowsBetween(Window.unboundedPreceding, -1)))
-    base = base.join(broadcast_if_small(bk_forced.select(*keys, "__bk", "__nf_carry")), [*keys, "__bk"], "left")
+    base = join_null_safe(base, broadcast_if_small(bk_forced.select(*keys, "__bk", "__nf_carry")), [*keys, "__bk"])
     base = base.withColumn("__nf", F.coalesce(F.col("__nf_local"), F.col("__nf_carry")))
     base = base.drop("__prev_t", "__nf_local", "__nf_carry", "__carry_t").checkpoint(eager=True)
 
@@ -109,19 +110,16 @@ def alert_cooldown(
 def _follow_chains(base: DataFrame, nodes: DataFrame) -> DataFrame:
     """shown = forced roots + every node on their ``nxt`` chains (pointer
     doubling: one self-join per level, then one join per level to expand)."""
-    levels = [nodes.select("node", "nxt")]
-    while levels[-1].filter(F.col("nxt").isNotNull()).limit(1).count() > 0:
+    levels = [nodes.filter(F.col("nxt").isNotNull()).select("node", "nxt")]
+    while levels[-1].take(1):
         a = levels[-1]
         b = a.select(F.col("node").alias("mid"), F.col("nxt").alias("nxt2"))
         levels.append(
-            a.join(b, F.col("nxt") == F.col("mid"), "left").select("node", F.col("nxt2").alias("nxt"))
-            .checkpoint(eager=True)
+            a.join(b, F.col("nxt") == F.col("mid")).select("node", F.col("nxt2").alias("nxt")).checkpoint(eager=True)
         )
     shown = nodes.filter("__forced").select("node")
     for level in reversed(levels[:-1]):
-        step = shown.join(level, "node", "inner").filter(F.col("nxt").isNotNull()).select(
-            F.col("nxt").alias("node")
-        )
+        step = shown.join(level, "node").select(F.col("nxt").alias("node"))
         shown = shown.unionByName(step).checkpoint(eager=True)
     flagged = shown.select(F.col("node").alias("__o"), F.lit(True).alias("shown"))
     out = base.join(flagged, "__o", "left").withColumn("shown", F.coalesce(F.col("shown"), F.lit(False)))
@@ -157,13 +155,13 @@ def _cooldown_ranged(events: DataFrame, cd: int, keys: list[str], n_parts: int |
     pw_back = Window.partitionBy(*keys).orderBy(F.col("__pid").desc())
     per = ranged.filter(is_ev).groupBy("__pid", *keys).agg(
         F.max("__t").alias("__last_t"), F.min("__o").alias("__first_o"))
-    allp = ranged.select("__pid", *keys).distinct().join(per, ["__pid", *keys], "left")
+    allp = join_null_safe(ranged.select("__pid", *keys).distinct(), per, ["__pid", *keys])
     allp = allp.withColumns({
         "__carry_prev": F.last("__last_t", ignorenulls=True).over(pw.rowsBetween(Window.unboundedPreceding, -1)),
         "__carry_next": F.last("__first_o", ignorenulls=True).over(pw_back.rowsBetween(Window.unboundedPreceding, -1)),
     })
     carry = broadcast_if_small(allp.select("__pid", *keys, "__carry_prev", "__carry_next"))
-    ranged = ranged.join(carry, ["__pid", *keys], "left")
+    ranged = join_null_safe(ranged, carry, ["__pid", *keys])
     prev_t = F.coalesce(F.col("__prev_local"), F.col("__carry_prev"))
     ranged = ranged.withColumns({
         "__forced": is_ev & (F.col("__rd") | prev_t.isNull() | (F.col("__t") - prev_t >= cd)),
@@ -175,7 +173,7 @@ def _cooldown_ranged(events: DataFrame, cd: int, keys: list[str], n_parts: int |
     perf = ranged.groupBy("__pid", *keys).agg(F.min(F.when(F.col("__forced"), F.col("__o"))).alias("__ff"))
     perf = perf.withColumn("__nf_carry", F.last("__ff", ignorenulls=True).over(
         pw_back.rowsBetween(Window.unboundedPreceding, -1)))
-    ranged = ranged.join(broadcast_if_small(perf.select("__pid", *keys, "__nf_carry")), ["__pid", *keys], "left")
+    ranged = join_null_safe(ranged, broadcast_if_small(perf.select("__pid", *keys, "__nf_carry")), ["__pid", *keys])
     ranged = ranged.withColumn("__nf", F.coalesce(F.col("__nf_local"), F.col("__nf_carry"))).checkpoint(eager=True)
     evs = ranged.filter(is_ev).select(F.col("__o").alias("node"), "__forced", "__nf")
     n30 = ranged.filter(F.col("__kind") == 0).select(F.col("__of").alias("node"), "__n30")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bodies import scan_bodies_udf
+from ..functions.sizing import broadcast_if_small
 from ..operators.ai_signals import flag_ai_like
 from ..operators.approvals import approval_snapshot as _approval_snapshot
 from ..operators.approvals import endpoint_snapshot
@@ -76,10 +77,10 @@ def approval_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_builtin_rank(spark: SparkSession, reqs: DataFrame) -> DataFrame:
-    res = resolve_hosts(reqs, "host", builtin_catalogue(spark), empty_catalogue(spark)).select(
+    res = resolve_hosts(reqs, "host", builtin_catalogue(spark), empty_catalogue(spark), matched_only=True).select(
         "host", F.col("match_rank").alias("builtin_rank")
     )
-    return reqs.join(res, "host", "left")
+    return reqs.join(broadcast_if_small(res), "host", "left")
 
 
 def discover_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
