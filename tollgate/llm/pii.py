@@ -23,6 +23,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,7 +61,13 @@ _PHONE = re.compile(
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)")
-_NAME = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_NEXT_NAME = re.compile(r"\s+([^\W\d_]+(?:[-'’][^\W\d_]+)*)")
+_JOINED_BEFORE = re.compile(r"(?:-[^\W\d_]*[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я](?![^\W_]))*")  # read backwards
+_JOINED_AFTER = re.compile(r"(?:-(?=[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я])[^\W\d_]+(?![^\W_]))*")
+_RUN = re.compile(r"[^\W_]+")
+_BY_RUN: dict[str, list[str]] = {}  # starts by their first run of letters
+for _start in sorted(_STARTS):
+    _BY_RUN.setdefault(_RUN.match(_start)[0], []).append(_start)
 
 
 def _emails(text: str):
@@ -77,22 +84,24 @@ def _emails(text: str):
 
 def _names(text: str):
     """Spans of single name words after a title or from a listed given name on."""
-    words = set(text.split())
-    for start in words & _STARTS:
-        at = text.find(start)
+    # A start stands between non-alphanumeric characters, so its first run does, too.
+    for start in chain.from_iterable(map(_BY_RUN.__getitem__, _BY_RUN.keys() & _RUN.findall(text))):
+        given, at = start not in TITLES, text.find(start)
         while at >= 0:
-            end = at + len(start)
+            lo, end = at, at + len(start)
             whole = (not at or not text[at - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
             spans, n = [], 0
-            if whole and start not in TITLES:
-                spans.append((at, end))
-            while whole and n < 2 and end < len(text) and text[end] == " ":
-                m = _NAME.match(text, end + 1)
-                if not m or not m[0][0].isupper() or m[0] in TITLES:
+            if whole and given:  # with the other words of a double name
+                lo -= len(_JOINED_BEFORE.match(text[max(0, lo - 64) : lo][::-1])[0])
+                end = _JOINED_AFTER.match(text, end).end()
+                spans.append((lo, end))
+            while whole and n < 2:
+                m = _NEXT_NAME.match(text, end)
+                if not m or not m[1][0].isupper() or m[1] in TITLES:
                     break
-                spans.append((m.start(), m.end()))
+                spans.append(m.span(1))
                 end, n = m.end(), n + 1
-            if len(spans) > (start not in TITLES):  # a given name alone may be any word
+            if len(spans) > given:  # a given name alone may be any word
                 yield from spans
             at = text.find(start, at + 1)
 
