@@ -17,3 +17,31 @@ def test_names_beside_marks_and_over_white_space(before, after, gap, start):
 
 def test_no_names_inside_words():
     assert not pii.entities("Annabel Zorn, xMrs Zorn, Peter1 Zorn, Anna said, Mrs, Zorn")
+
+
+def _drawn(spark, rows):
+    out = pii.surrogates(spark.createDataFrame(rows, "kind string, entity string"), b"key").collect()
+    got = {(r["kind"], r["entity"]): r["surrogate"] for r in out}
+    assert set(got) == set(rows) and len(set(got.values())) == len(got) and not set(got.values()) & {e for _, e in rows}
+    return got
+
+
+def test_given_names_keep_their_gender_when_all_occur(spark):
+    prepare(spark)
+    groups = {n.casefold(): g for g, names in pii.LISTED.items() for n in names}
+    own = {g: {n.casefold() for n in names} for g, names in pii.SURROGATES.items()}
+    for seen in ([], [n for names in own.values() for n in names]):  # also with every stand-in taken
+        got = _drawn(spark, [("name", n) for n in [*groups, *seen]])
+        for name, group in groups.items():
+            assert set(got["name", name].split("-")) <= own[group]
+    assert not pii._STARTS & {n for names in pii.SURROGATES.values() for n in names}
+
+
+def test_a_full_private_range_widens(spark):
+    prepare(spark)
+    rows = [("ipv4", f"192.168.{a}.{b}") for a in range(160) for b in range(256)]
+    rows += [("ipv4", f"172.20.{a}.{b}") for a in range(160) for b in range(256)] + [("ipv4", "172.217.3.4"), ("ipv4", "8.8.8.8")]
+    got = _drawn(spark, rows)
+    private = ("192.168.", "10.", *(f"172.{b}." for b in range(16, 32)))
+    assert all(new.startswith(private) for (_, old), new in got.items() if old.startswith(private))
+    assert got["ipv4", "172.217.3.4"].startswith("172.217.")

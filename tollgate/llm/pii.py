@@ -7,8 +7,10 @@ keyed hash (HMAC-SHA256) of its type and canonical form, so it is replaced
 alike in every document and form; names are replaced word by word, so 'Mrs
 Anna Keller' and 'Mrs Keller' stay the same person.  Surrogates keep the type
 and the format: lengths, separators, case, digits as digits, the check digit's
-validity of card numbers, private IPv4 ranges, the script of names, and the
-gender of listed given names (titles stay).
+validity of card numbers, private IPv4 addresses as private ones (of the same
+range while it has free ones), the script of names, and the gender of listed
+given names (titles stay): their surrogates are other given names and, when
+those are used up, double names of them.
 
 The distinct entities of all documents form a table.  Surrogates that two
 entities share, or that equal an entity of the data, are drawn again until all
@@ -32,13 +34,21 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-#: Given names by gender and script: each group is one cycle of surrogates.
-GIVEN = {
+#: Given names that are searched for, by gender and script.
+LISTED = {
     ("f", "latin"): "Anna Maria Laura Julia Sarah Emma Elena Clara Sofia Alice Carmen Ingrid Claire Helen Martha Lucia Nadia Rosa Heidi Sylvie".split(),
     ("m", "latin"): "Peter Thomas Michael David Martin Robert Daniel Simon Carlos Pablo Pierre Jean Hans Klaus James William George Henri Diego Stefan".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Ирина Наталья Светлана Татьяна".split(),
     ("m", "cyrillic"): "Иван Пётр Сергей Андрей Дмитрий Николай Михаил Алексей".split(),
 }
+#: Given names that stand in for them; none is searched for.
+SURROGATES = {
+    ("f", "latin"): "Greta Hanna Frieda Paula Nora Lena Marta Irene Judith Vera Olivia Lydia Edith Agnes Bianca Camila Daria Esther Flora Gloria Hilda Iris Johanna Katharina Lotte Miriam Nina Ottilie Petra Regina Sabine Theresa Ursula Viola Wilma Yvonne Amelie Beatrix Cecilia Dorothea".split(),
+    ("m", "latin"): "Anton Bruno Conrad Edgar Felix Gustav Hugo Ivan Jakob Karl Leon Markus Niklas Otto Paul Quentin Rolf Samuel Tobias Ulrich Victor Walter Xavier Yannick Arthur Bernard Christian Dominik Erik Frank Gerald Harald Igor Jonas Konrad Lukas Matthias Norbert Oliver Philipp".split(),
+    ("f", "cyrillic"): "Алина Валентина Вера Галина Дарья Екатерина Зоя Инна Ксения Лариса Людмила Надежда Нина Полина Раиса Тамара".split(),
+    ("m", "cyrillic"): "Антон Борис Вадим Виктор Глеб Григорий Денис Егор Игорь Кирилл Леонид Максим Олег Павел Роман Фёдор".split(),
+}
+GIVEN = {group: names + SURROGATES[group] for group, names in LISTED.items()}
 TITLES = set("Mr Mr. Mrs Mrs. Ms Ms. Miss Dr Dr. Prof Prof. Herr Frau Monsieur Madame Señor Señora Sr. Sra. Г-н Г-жа".split())
 LETTERS = {  # alphabets whose letters stand in for one another
     "latin": ("aeiou", "bcdfghklmnprstvw"),
@@ -46,8 +56,8 @@ LETTERS = {  # alphabets whose letters stand in for one another
     "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ"),
     "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
 }
-_GROUP = {name.casefold(): group for group, names in GIVEN.items() for name in names}
-_STARTS = TITLES | {n for names in GIVEN.values() for n in names}
+_GROUP = {name.casefold(): group for group, names in LISTED.items() for name in names}
+_STARTS = TITLES | {n for names in LISTED.values() for n in names}
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _SECRET = re.compile(
@@ -174,6 +184,37 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def given_name(key: bytes, group: tuple[str, str], words: list[str], attempt: int, draw: Draw) -> str:
+    """A given name of the group: for each listed name others in a keyed
+    order, then double and longer ones."""
+    listed = sorted(n.casefold() for n in LISTED[group])
+    cycle = sorted((n.casefold() for n in SURROGATES[group]), key=lambda n: hmac.new(key, n.encode(), hashlib.sha256).digest())
+    turns = len(cycle) // len(listed)
+    if len(words) == 1 and attempt < turns:
+        return cycle[attempt * len(listed) + listed.index(words[0])]
+    return "-".join(cycle[draw.below(len(cycle))] for _ in range(max(2, len(words)) + attempt // 8))
+
+
+def address(own: list[int], attempt: int, draw: Draw) -> list[int]:
+    """An IPv4 address of the same range.  Late attempts, made where a range
+    has no free address left, widen private ones to the next larger private
+    range and last to 240.0.0.0/4: never routed, and seven times as large as
+    all private and loopback ranges."""
+    a, b = own[:2]
+    small = (a, b) == (192, 168) or a == 172 and 16 <= b < 32
+    if (small or a == 172) and attempt < 4:
+        head = [a, b]
+    elif small and attempt < 8:
+        head = [172, 16 + draw.below(16)]
+    elif (small or a in (10, 127)) and attempt < 16:
+        head = [10 if small else a]
+    elif small or a in (10, 127):
+        head = [240 + draw.below(16)]
+    else:
+        head = [1 + draw.below(223)]
+    return head + [1 + draw.below(254) for _ in range(4 - len(head))]
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The ``attempt``-th surrogate of a canonical form, in canonical form."""
     draw = Draw(key, kind, entity, attempt)
@@ -191,15 +232,13 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         keep = max(0, len(entity) - 10)  # the country code
         return entity[:keep] + str(2 + draw.below(8)) + draw.like(entity[keep + 1 :])
     if kind == "ipv4":
-        parts = entity.split(".")
-        keep = 1 if parts[0] in ("10", "127") else 2 if entity.startswith(("192.168.", "172.")) else 0
-        return ".".join([*parts[:keep], *(str(1 + draw.below(223 if i == 0 else 254)) for i in range(keep, 4))])
+        return ".".join(map(str, address([int(x) for x in entity.split(".")], attempt, draw)))
     if kind == "secret":
         return draw.like(entity, hexa=re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity) is not None)
-    group = _GROUP.get(entity)
-    if group and not attempt:  # the next name of the group in a keyed order
-        cycle = sorted((n.casefold() for n in GIVEN[group]), key=lambda n: hmac.new(key, n.encode(), hashlib.sha256).digest())
-        return cycle[(cycle.index(entity) + 1) % len(cycle)]
+    words = entity.split("-")
+    group = next((_GROUP[w] for w in words if w in _GROUP), None)
+    if group:
+        return given_name(key, group, words, attempt, draw)
     return draw.like(entity + "an" * (attempt // 4))
 
 
