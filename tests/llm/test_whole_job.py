@@ -2,7 +2,7 @@
 
 import pytest
 
-from tollgate.llm import pii
+from tollgate.llm import ngram_join, pii
 from tollgate.llm.common import prepare
 
 
@@ -45,3 +45,24 @@ def test_a_full_private_range_widens(spark):
     private = ("192.168.", "10.", *(f"172.{b}." for b in range(16, 32)))
     assert all(new.startswith(private) for (_, old), new in got.items() if old.startswith(private))
     assert got["ipv4", "172.217.3.4"].startswith("172.217.")
+
+
+def test_copies_spread_over_the_shards_with_one_sketch(spark):
+    prepare(spark)
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(i, text) for i in range(600)], "id long, text string").coalesce(1)
+    rows = ngram_join.dealt(docs, 6).where("n is not null").groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in rows) == [100] * 6
+    assert ngram_join.dealt(docs, 6).where("sketch is not null").count() == 1
+    out = ngram_join.near_duplicates(docs, "id").collect()
+    assert len(out) == 600 and all(r["component_id"] == 0 for r in out)
+
+
+def test_texts_that_share_an_id_stay(spark):
+    prepare(spark)
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, text("a")), (5, text("b")), (5, text("c")), (5, text("c")), (5, text("c") + " more"), (5, text("a")), (5, None),
+            (5, " "), (6, text("b")), (6, text("d")), (7, text("b")), (7, text("a")), (None, text("a")), (8, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").strip()[:2]) for r in ngram_join.deduplicated(docs).collect())
+    assert got == [(0, "a0"), (1, "a0"), (5, ""), (5, "b0"), (5, "c0"), (6, "d0"), (8, "e0")]

@@ -39,6 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,8 +175,9 @@ _DEALT = pa.schema(
 
 def dealt(docs: DataFrame, n_shards: int) -> DataFrame:
     """One pass over the texts, giving two kinds of rows by shard: segments,
-    packed (equal sets of a map task's turn enter once), and a row for each
-    document with its set's size, code and sketch."""
+    packed, and a row for each document with its set's size and code.  Equal
+    sets of a map task's turn enter once, and only the first one's row has the
+    sketch.  The documents' rows go round the shards, so copies spread."""
 
     def flush(held):
         keys = np.concatenate([k for k, _ in held])
@@ -194,21 +196,26 @@ def dealt(docs: DataFrame, n_shards: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         held, size = [], 0
+        at = TaskContext.get().partitionId()
         for b in batches:
             found = []
             for text in b.column("text").to_pylist():
                 codes = element_codes(text)
                 f = fingerprint(codes)
                 size += len(text or "")
-                found.append((len(codes), f, parity_sketch(codes) if len(codes) else None))
-                if len(codes) >= SMALLEST and f not in seen:
+                new = len(codes) > 0 and f not in seen
+                found.append((len(codes), f, parity_sketch(codes) if new else None))
+                if new:
                     seen.add(f)
-                    held.append((segment_keys(codes), f))
+                    if len(codes) >= SMALLEST:
+                        held.append((segment_keys(codes), f))
             n, f, sketch = zip(*found) if found else ((), (), ())
             none = [None] * len(n)
-            yield batch(_DEALT, [x % n_shards for x in f], none, none, b.column("id"), n, f, sketch)
-            if size > FLUSH_BYTES and held:
-                yield from flush(held)
+            yield batch(_DEALT, [(at + i) % n_shards for i in range(len(n))], none, none, b.column("id"), n, f, sketch)
+            at += len(n)
+            if size > FLUSH_BYTES:
+                if held:
+                    yield from flush(held)
                 held, size = [], 0
                 seen.clear()
         if held:
@@ -424,15 +431,17 @@ def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame, cl
     return found.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id) of every row; see the module's text."""
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, f1, component, component_id) of every row: its set's size and
+    code, its group and the group's smallest id.  An empty set's group is its
+    code, and its component_id its own id."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_shards = pieces(total_bytes(docs), SHARD_BYTES)
     both = stored(shared_segments(dealt(docs, n_shards)))
     rows = both.where("n is not null").select("id", "n", "f1", "sketch")
     live = both.where("key is not null").select("key", "set", "hub", "shared")
     classes = rows.where("n > 0").groupBy("f1").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
     )
     classes = stored(classes)
 
@@ -450,26 +459,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = classes.select("f1", "rep").join(parts.withColumnRenamed("node", "f1"), "f1", "left")
     placed = placed.withColumn("component", F.coalesce("component", "f1"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "component").select("f1", "component_id")
-    out = rows.join(named, "f1", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+    named = placed.join(least, "component").select("f1", "component", "component_id")
+    return rows.select("id", "n", "f1").join(named, "f1", "left").select(
+        "id", "n", "f1", F.coalesce("component", "f1").alias("component"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id) of every row; see the module's text."""
+    return grouped(docs, id_col, text_col).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"
+    )
+
+
+@F.pandas_udf(T.LongType())
+def _set_code(texts: pd.Series) -> pd.Series:
+    return pd.Series([fingerprint(element_codes(t)) for t in texts], dtype="int64")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with its smallest id.
 
-    Rows that share an id count as one document: it goes if all of them would,
-    and stays as one row.  Documents without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    special = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(
-        F.min(F.col("component_id") != F.col(id_col)).alias("__gone"), F.count("*").alias("__rows")
-    )
+    Rows that share an id are told apart by their sets: each goes or stays
+    with its own group, and one of several in the same group stays.  Documents
+    without an id stay."""
+    found = grouped(docs, id_col, text_col).where("id is not null").withColumn("gone", F.col("component_id") != F.col("id"))
+    special = found.groupBy(F.col("id").alias("__id")).agg(F.min("gone").alias("__gone"), F.count("*").alias("__rows"))
     special = stored(special.where("__gone or __rows > 1"))
+    shared = special.where("__rows > 1 and not __gone").select(F.col("__id").alias("id"))
+    chosen = stored(found.where("not gone").join(shared, "id", "left_semi").groupBy("id", "component").agg(F.min("f1").alias("f1")))
     flagged = marked(docs, special.select("__id"), id_col)
     hit = flagged.where("__hit").join(special, F.col(id_col) == F.col("__id"), "left").where("coalesce(not __gone, true)")
     once = hit.where("coalesce(__rows, 1) = 1").select(*docs.columns)
-    several = hit.where("__rows > 1").select(*docs.columns).dropDuplicates([id_col])
+    several = hit.where("__rows > 1").select(*docs.columns, _set_code(text_col).alias("__f1"))
+    several = several.join(
+        chosen.select(F.col("id").alias("__id"), F.col("f1").alias("__kept")),
+        (F.col(id_col) == F.col("__id")) & (F.col("__f1") == F.col("__kept")), "left_semi",
+    ).dropDuplicates([id_col, "__f1"]).select(*docs.columns)
     return flagged.where("not __hit").select(*docs.columns).unionByName(once).unionByName(several)
