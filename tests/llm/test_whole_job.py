@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import numpy as np
 import pytest
 
-from tollgate.llm import ngram_join, pii
+from tollgate.llm import ngram_join, pii, quality_rules
 from tollgate.llm.common import prepare
 
 
@@ -66,3 +67,22 @@ def test_texts_that_share_an_id_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, (r["text"] or "").strip()[:2]) for r in ngram_join.deduplicated(docs).collect())
     assert got == [(0, "a0"), (1, "a0"), (5, ""), (5, "b0"), (5, "c0"), (6, "d0"), (8, "e0")]
+
+
+@pytest.mark.parametrize("text, script", [
+    ("α is the first letter of it", "latin"), ("Москва: the city of the river", "latin"), ("x это простой текст", "cyrillic"),
+    ("漢字一二三丁七万丈", "cjk"), ("한국어 문장 가나다", "hangul"), ("힣각 글", "hangul"), ("ＡＢＣ", "latin"), ("12 ?!", "none"), ("", "none"), (None, "none"),
+])
+def test_script_of_most_letters(text, script):
+    assert quality_rules.script_of(text, (text or "").encode()) == script
+
+
+def test_quantiles_equal_percentile(spark):
+    prepare(spark)
+    rnd = np.random.default_rng(4)
+    rows = [(k, float(v)) for k, n in (("a", 400), ("b", 7), ("c", 1)) for v in rnd.normal(size=n).round(1 if k == "a" else 9)]
+    df = spark.createDataFrame([*rows, ("a", None)], "k string, x double").repartition(5)
+    got = {r["k"]: (r["n"], r["q"]) for r in quality_rules.exact_quantiles(df, ["k"], "x", (0.002, 0.5, 0.998)).collect()}
+    for k in "abc":
+        x = [v for key, v in rows if key == k]
+        assert got[k][0] == len(x) and np.allclose(got[k][1], np.percentile(x, [0.2, 50, 99.8]), rtol=0, atol=1e-12)

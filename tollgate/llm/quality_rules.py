@@ -7,7 +7,8 @@ lists added up, so whole texts count.  Rejection bands per language come from
 trusted documents (quality 1, ``MIN_WORDS`` words or more): the extreme
 quantiles of each measure, widened by ``slack`` of their distance from the
 median.  A language with fewer than ``LEAST_TRUSTED`` trusted documents, or a
-null one, takes the bands of the text's script, and of all trusted documents
+null one, takes the bands of the text's script (that of most of its letters),
+and of all trusted documents
 where the script has too few; without any trusted document nothing is
 rejected by band.
 
@@ -15,15 +16,21 @@ Words are ``[^\\x20\\x09-\\x0D]+``.  Null text has no words and fails the base
 rules, as do empty ones.  Null and repeated ids are kept; other columns are
 ignored."""
 
+import re
+import string
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -32,6 +39,12 @@ MOST_WORDS = 500_000
 LEAST_TRUSTED = 50
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 
+LETTERS = string.ascii_letters.encode()
+ASCII = re.compile("[\x00-\x7f]+")
+#: First words of Unicode names that tell a form, and those that need the next.
+FORMS = {"fullwidth", "halfwidth", "modifier", "letter", "small", "capital", "mathematical", "feminine", "masculine"}
+TWO_WORDS = {"old", "new", "tai", "linear", "ol", "inscriptional", "psalter", "imperial", "meroitic", "phags-pa"}
+
 _LOADED: dict[str, object] = {}
 
 
@@ -135,12 +148,30 @@ class Words:
         return chars / max(self.bpe_tokens[w].sum(), 1), of_bytes / max(total, 1), float(-(p * np.log2(p)).sum())
 
 
-def script_of(text: str | None) -> str:
-    """Latin, another letter block by its number, or none, by the first letters."""
-    for c in text or "":
-        if c.isalpha():
-            return "latin" if ord(c) < 0x250 else f"block{ord(c) >> 8}"
-    return "none"
+class Scripts(dict):
+    """Scripts of characters by their Unicode names, null for other than letters."""
+
+    def __missing__(self, c: str) -> str | None:
+        words = unicodedata.name(c, "").lower().split() if c.isalpha() else []
+        while words[1:] and words[0] in FORMS:
+            del words[0]
+        n = 2 if words and words[0] in TWO_WORDS else 1
+        self[c] = found = " ".join(words[:n]) or None
+        return found
+
+
+_SCRIPTS = Scripts()
+
+
+def script_of(text: str | None, raw: bytes) -> str:
+    """The script of most letters of a text, given with its UTF-8 form."""
+    counts = Counter(latin=len(raw) - len(raw.translate(None, LETTERS)))
+    if len(raw) > len(text or ""):
+        for c, n in Counter(ASCII.sub("", text)).items():
+            if script := _SCRIPTS[c]:
+                counts[script] += n
+    best = min(counts, key=lambda x: (-counts[x], x))
+    return best if counts[best] else "none"
 
 
 def measure(docs: DataFrame, bpe_path: str, fallback_path: str) -> DataFrame:
@@ -163,31 +194,56 @@ def measure(docs: DataFrame, bpe_path: str, fallback_path: str) -> DataFrame:
                 base = base_counts(text, own)
                 w = np.fromiter(map(known.number.__getitem__, words), np.int64, len(words))
                 values = known.measures(w, base[0]) if words else (None, None, None)
-                rows.append((len(words), *base, repeated_words(w), script_of(text), *values))
+                rows.append((len(words), *base, repeated_words(w), script_of(text, own), *values))
             yield pd.DataFrame(rows, columns=[*names, "script", *MEASURES])
 
     return docs.withColumn("__m", all_of("text")).select(*docs.columns, "__m.*")
 
 
+def exact_quantiles(values: DataFrame, by: list[str], x: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, n, q): the number of values and their interpolated percentiles, as
+    ``F.percentile`` gives them.  Equal values are counted first, then ranked
+    within range partitions, so no task holds all values of a group."""
+    counts = values.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("c"))
+    dealt = stored(counts.repartitionByRange(*by, x).withColumn("part", F.spark_partition_id()))
+    # One row for each partition and group.
+    sums = dealt.groupBy("part", *by).agg(F.sum("c").alias("own"))
+    sums = sums.withColumn("before", F.sum("own").over(Window.partitionBy(*by).orderBy("part")) - F.col("own"))
+    sums = sums.withColumn("n", F.sum("own").over(Window.partitionBy(*by))).drop("own")
+    ranked = dealt.join(sums, ["part", *by])
+    ranked = ranked.withColumn("end", F.col("before") + F.sum("c").over(Window.partitionBy("part", *by).orderBy(x)))
+    picked, q = [], []
+    for i, share in enumerate(shares):
+        at = (F.col("n") - 1) * F.lit(share)
+        for name, rank in ((f"lo{i}", F.floor(at)), (f"hi{i}", F.ceil(at))):
+            here = (rank < F.col("end")) & (rank >= F.col("end") - F.col("c"))
+            picked.append(F.max(F.when(here, F.col(x))).alias(name))
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        q.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi))
+    return ranked.groupBy(*by, "n").agg(*picked).select(*by, "n", F.array(*q).alias("q"))
+
+
 def bands(measured: DataFrame, tail: float, slack: float) -> DataFrame:
     """(level, value, lo_/hi_ of each measure) from trusted measured rows."""
-    exprs = []
-    for m in MEASURES:
-        q = F.percentile(m, F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))
-        exprs.append(q.alias(m))
-    grouped = measured.withColumn(
-        "place", F.explode(F.array(
-            F.struct(F.lit("lang").alias("level"), F.col("lang").alias("value")),
-            F.struct(F.lit("script").alias("level"), F.col("script").alias("value")),
-            F.struct(F.lit("all").alias("level"), F.lit("").alias("value")),
-        ))
-    ).groupBy("place").agg(F.count("*").alias("rows"), *exprs).where(F.col("rows") >= LEAST_TRUSTED)
+    places = F.array(
+        F.struct(F.lit("lang").alias("level"), F.col("lang").alias("value")),
+        F.struct(F.lit("script").alias("level"), F.col("script").alias("value")),
+        F.struct(F.lit("all").alias("level"), F.lit("").alias("value")),
+    )
+    each = measured.select(F.explode(places).alias("place"), *MEASURES).where("place.value is not null")
+    each = each.select("place.level", "place.value", F.explode(F.array(
+        *(F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in MEASURES)
+    )).alias("m")).select("level", "value", "m.measure", "m.x")
+    found = exact_quantiles(each, ["level", "value", "measure"], "x", (tail, 0.5, 1 - tail))
+    grouped = found.where(F.col("n") >= LEAST_TRUSTED).groupBy("level", "value").agg(
+        *(F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m in MEASURES)
+    )
     limits = []
     for m in MEASURES:
         lo, mid, hi = (F.col(m)[i] for i in range(3))
         room = F.greatest(slack * (hi - lo), 0.02 * F.abs(mid), F.lit(0.01))
         limits += [(lo - room).alias(f"lo_{m}"), (hi + room).alias(f"hi_{m}")]
-    return grouped.where("place.value is not null").select("place.level", "place.value", *limits)
+    return grouped.select("level", "value", *limits)
 
 
 def judge(
@@ -195,8 +251,6 @@ def judge(
     tail: float = 0.002, slack: float = 0.5,
 ) -> DataFrame:
     """(id_col, counts, measures, base_failed, kept) of every row."""
-    from .common import stored
-
     measured = stored(
         measure(docs.select(F.col(id_col).alias("id"), "text", F.col("lang").cast("string").alias("lang")), bpe_path, fallback_path).drop("text")
     )
