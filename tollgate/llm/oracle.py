@@ -127,3 +127,128 @@ SELECT record_id, url, ref_id, outcome, sha256(array_to_string(list_transform(hs
        CASE WHEN outcome = 'resolved' THEN sha256(body) END AS payload_sha256
 FROM final
 """
+
+
+def crc32_sql(points: str) -> str:
+    """crc32 of a list of code points up to U+00FF as UTF-8, four bits a step."""
+    halves = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p & 15, p >> 4] ELSE [3, 12, (p - 64) & 15, (p - 64) >> 4] END))"
+    # The reflected polynomial's remainders of 0 to 15.
+    table = """[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"""
+    step = f"lambda c, b: xor(c >> 4, ({table})[(xor(c, b) & 15) + 1])"
+    return f"xor(list_reduce(list_transform({halves}, lambda b: CAST(b AS BIGINT)), {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _points(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '(?s).'), lambda p: unicode(p))"
+
+
+#: Words after the slips, near words by what is left without one letter, forms
+#: and the last form reachable.
+VARIANTS_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+slips AS (SELECT run, c, {crc32_sql(_points("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM runs),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word,
+         CAST(sum(c) AS BIGINT) AS n
+  FROM slips GROUP BY 1 HAVING length(word) >= 7 AND n >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+near AS (
+  SELECT a.word AS w, b.word AS v, b.n AS vn FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.d = b.word),
+best AS (SELECT w, count(*) AS n_near, first(v ORDER BY vn DESC, v) AS v, max(vn) AS vn FROM near GROUP BY w),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN vn >= 10 * n THEN v END AS form, CASE WHEN vn >= 10 * n THEN vn END AS form_n
+  FROM words LEFT JOIN best ON w = word),
+follow AS (
+  SELECT word, word AS root, 0 AS step FROM formed
+  UNION ALL
+  SELECT f.word, g.form, step + 1 FROM follow f JOIN formed g ON g.word = f.root WHERE g.form IS NOT NULL)
+SELECT formed.word, form, last AS root, n, n_near, form_n
+FROM formed JOIN (SELECT word, last(root ORDER BY step) AS last FROM follow GROUP BY word) r ON r.word = formed.word
+"""
+
+#: The smallest document of every 13-word window, and the words under windows
+#: that a smaller document has.
+SUBSTRING_SQL = """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+spans AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM words)),
+least AS (SELECT s, min(doc_id) AS m FROM spans GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM spans JOIN least USING (s) WHERE m < doc_id),
+places AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS k
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM words LEFT JOIN places USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_BACK = """
+  SELECT conv, i, [least(m[1], 5 + least(m[3], 5 + m[4])), least(m[2], 5 + least(m[3], 5 + m[4])), least(m[3], 5 + m[4]), least(m[4], 5 + m[3])] AS v
+  FROM (SELECT r.conv, r.i, list_transform([1, 2, 3, 4], lambda q: least(
+          b.v[q] + 2,
+          CASE WHEN fault IN ('', 'truncated') THEN b.v[new_state[q]] + 1 + extra ELSE 1000000 END,
+          CASE WHEN fault IN ('', 'truncated') AND kept_state[q] > 0 THEN b.v[kept_state[q]] + extra ELSE 1000000 END)) AS m
+        FROM back b JOIN rows r ON r.conv = b.conv AND r.i = b.i - 1)"""
+
+#: Faults by window functions, least costs from the end by recursion, and the
+#: letters by a second recursion from the start.  States 1 to 4: start, after
+#: system, after user, after assistant.
+DIALOGUE_SQL = f"""
+WITH RECURSIVE base AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql(_points("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"))} % 20 AS way
+  FROM conversations),
+damaged AS (
+  SELECT conv, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE way WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM base WHERE way <> 0),
+numbered AS (
+  SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending
+  FROM damaged),
+rows AS (
+  SELECT conv, turn, role, text, i, fault, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra, [3, 3, 4, 3] AS new_state,
+         CASE left(role, 1) WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS kept_state,
+         lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) AS pair
+  FROM (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+                       WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered)),
+sizes AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv),
+back AS (
+  SELECT conv, n + 1 AS i, [0, 10, 5, 0] AS v FROM sizes
+  UNION ALL {_BACK}),
+walk AS (
+  SELECT conv, CAST(1 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS kept FROM sizes
+  UNION ALL
+  SELECT conv, CASE edit WHEN 'I' THEN i ELSE i + 1 END,
+         CASE edit WHEN 'D' THEN q WHEN 'K' THEN kept_state[q] ELSE ([3, 3, 4, 3])[q] END, audit || edit,
+         CASE edit WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || text)
+              ELSE list_append(kept, (CASE q WHEN 3 THEN 'assistant:' ELSE 'user:' END) || CASE edit WHEN 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT w.*, r.role, r.text, r.kept_state, CASE
+        WHEN here.v[w.q] = next.v[w.q] + 2 THEN 'D'
+        WHEN here.v[w.q] = here.v[([3, 3, 4, 3])[w.q]] + 5 THEN 'I'
+        WHEN r.i IS NULL THEN NULL
+        WHEN r.kept_state[w.q] > 0 AND fault IN ('', 'truncated') AND here.v[w.q] = next.v[r.kept_state[w.q]] + extra THEN 'K'
+        ELSE 'R' END AS edit
+    FROM walk w JOIN back here ON here.conv = w.conv AND here.i = w.i
+    LEFT JOIN rows r ON r.conv = w.conv AND r.i = w.i LEFT JOIN back next ON next.conv = w.conv AND next.i = w.i + 1)
+  WHERE edit IS NOT NULL),
+ends AS (SELECT conv, last(audit ORDER BY length(audit)) AS audit, last(kept ORDER BY length(audit)) AS kept FROM walk GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(back.v[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(kept, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM base) LEFT JOIN sizes USING (conv) LEFT JOIN ends USING (conv)
+LEFT JOIN back ON back.conv = sizes.conv AND back.i = 1
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .common import prepare
-from .oracle import COSINE_SQL, JACCARD_SQL, MIXING_SQL, REVISIT_SQL
+from .oracle import COSINE_SQL, DIALOGUE_SQL, JACCARD_SQL, MIXING_SQL, REVISIT_SQL, SUBSTRING_SQL, VARIANTS_SQL
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,25 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import group_variants, word_counts
+
+    return group_variants(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dialogue import repaired_conversations
+
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup
+
+    out = dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _prepared(fn: QueryFn) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
@@ -122,6 +141,7 @@ def queries() -> dict[str, QueryFn]:
         op1_word_backoff_langid, op2_pca_tiled_dedup, op3_parity_sketch_join, op4_temperature_mixing,
         op5_kneser_ney_quality, op6_bpe_codec, op7_revisit_resolution,
         op8_fertility_rules, op9_surrogates, op10_context_mixing,
+        op11_permuterm_variants, op12_conversation_repair, op13_cover_substrings,
     )}
 
 
@@ -131,4 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_parity_sketch_join": JACCARD_SQL,
         "op4_temperature_mixing": MIXING_SQL,
         "op7_revisit_resolution": REVISIT_SQL,
+        "op11_permuterm_variants": VARIANTS_SQL,
+        "op12_conversation_repair": DIALOGUE_SQL,
+        "op13_cover_substrings": SUBSTRING_SQL,
     }
