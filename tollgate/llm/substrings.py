@@ -16,11 +16,12 @@ hold an aligned anchor of every shared passage of 7 + 7 - 1 = 13 words:
 A passage that very many documents share is one entry a block, so no shard
 holds more of it than there are blocks; documents are shuffled once, and no
 pair of documents is written.  Anchors are a filter, 32 bits of a shard each;
-windows decide, by 96 bits beside the shard's."""
+windows decide, by 96 bits beside the shard's, from 64 bits a word."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -34,10 +35,10 @@ from .dictionary import _zipped, to_blocks
 
 #: A difference cover: each remainder of the period is a difference of two.
 PERIOD, COVER = 7, (0, 1, 3)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
-#: Two keyed word hashes, and the odd factors of their windows.
-KEYS = ("tollgate words a", "tollgate words b")
+#: The key of the word hash, and the odd factors of the two window hashes.
+KEY = "tollgate words a"
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -46,18 +47,21 @@ def words_of(blob: bytes) -> list[bytes]:
     return blob.split()
 
 
-def windows(words: list[bytes], width: int, which: int) -> np.ndarray:
-    """64-bit hashes of all windows of ``width`` words."""
-    n = len(words) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
+def hashes(words: list[bytes]) -> np.ndarray:
     objects = np.empty(len(words), object)
     objects[:] = words
-    h = pd.util.hash_array(objects, hash_key=KEYS[which], categorize=False)
-    out, factor = h[:n].copy(), np.uint64(FACTORS[which])
+    return pd.util.hash_array(objects, hash_key=KEY, categorize=False)
+
+
+def windows(h: np.ndarray, starts: np.ndarray, width: int, which: int) -> np.ndarray:
+    """64-bit hashes of the windows of ``width`` words at ``starts``."""
+    if which:
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+    out, factor = h[starts], np.uint64(FACTORS[which])
     for k in range(1, width):
         out *= factor
-        out += h[k : k + n]
+        out += h[starts + k]
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(29))
@@ -69,68 +73,79 @@ def sharded(h: np.ndarray, n_shards: int) -> np.ndarray:
     return (shard << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
-def on_cover(n: int) -> np.ndarray:
-    return np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-
-
 class Block:
-    """A block's documents, unpacked one at a time."""
+    """A block's documents as one run of word hashes; texts are unpacked one at
+    a time.  Documents without an id lie in no window."""
 
     def __init__(self, table: pa.Table, span: int, n_shards: int):
-        self.ids, self.blobs = table.column("id").to_pylist(), table.column("text")
-        self.width, self.span, self.n_shards = span - PERIOD + 1, span, n_shards
-
-    def texts(self) -> Iterator[tuple[int | None, list[bytes]]]:
+        self.blobs, self.span, self.n_shards = table.column("text"), span, n_shards
+        self.ids = table.column("id").to_pylist()
+        self.counts = np.zeros(len(self.ids), np.int64)
+        parts, held = [], []
+        for k, words in enumerate(self.texts()):
+            self.counts[k] = len(words)
+            held += words
+            if len(held) >= 1 << 16:
+                parts.append(hashes(held))
+                held = []
+        self.h = np.concatenate([*parts, hashes(held)])
+        self.starts = np.cumsum(self.counts) - self.counts
+        windows_each = np.where([i is not None for i in self.ids], np.maximum(self.counts - span + 1, 0), 0)
+        self.last = self.starts + windows_each - 1  # of a document's windows
+        of = np.repeat(np.arange(len(self.ids)), np.where(windows_each > 0, windows_each + PERIOD - 1, 0))
+        place = np.arange(len(of)) - np.repeat(np.flatnonzero(np.diff(of, prepend=-1)), np.diff(np.flatnonzero(np.diff(of, prepend=-1, append=-1))))
+        cover = np.isin(place % PERIOD, COVER)
+        self.of = of[cover]
+        self.spots = self.starts[self.of] + place[cover]
+        self.keys = sharded(windows(self.h, self.spots, span - PERIOD + 1, 0), n_shards)
+
+    def texts(self) -> Iterator[list[bytes]]:
         z = zstandard.ZstdDecompressor()
-        for at, blob in zip(self.ids, self.blobs):
-            yield at, words_of(z.decompress(blob.as_buffer()))
-
-    def anchors(self, words) -> tuple[np.ndarray, np.ndarray]:
-        """Places on the cover and the anchors there."""
-        places = on_cover(len(words) - self.width + 1) if len(words) >= self.span else np.zeros(0, np.int64)
-        if not len(places):
-            return places, np.zeros(0, np.uint64)
-        return places, sharded(windows(words, self.width, 0)[places], self.n_shards)
+        for blob in self.blobs:
+            yield words_of(z.decompress(blob.as_buffer()))
 
     def listed(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, and whether two documents of the block have them."""
-        each = [np.unique(self.anchors(words)[1]) for at, words in self.texts() if at is not None]
-        keys, n = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
-        return keys, n > 1
-
-    def extended(self, words, shared: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold an anchor in ``shared``."""
-        places, keys = self.anchors(words)
-        n = len(words) - self.span + 1
-        if not len(shared) or not len(places):
-            return np.zeros(0, np.int64)
-        spot = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
-        hit = places[shared[spot] == keys]
-        edges = np.zeros(n + 1, np.int64)
-        np.add.at(edges, np.maximum(hit - PERIOD + 1, 0), 1)
-        np.add.at(edges, np.minimum(hit, n - 1) + 1, -1)
-        return np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-
-    def window_keys(self, words, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return sharded(windows(words, self.span, 0)[starts], self.n_shards), windows(words, self.span, 1)[starts]
-
-    def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows (two keys, sorted) and the smallest document of each."""
-        a, b, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for at, words in self.texts():
-            starts = self.extended(words, shared) if at is not None else ()
-            if len(starts):
-                x, y = self.window_keys(words, starts)
-                a.append(x), b.append(y), ids.append(np.full(len(x), at, np.int64))
-        return least_ids(np.concatenate(a), np.concatenate(b), np.concatenate(ids))
+        order = np.lexsort((self.of, self.keys))
+        keys, of = self.keys[order], self.of[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        firsts = np.flatnonzero(new)
+        lasts = np.append(firsts[1:], len(keys)) - 1
+        return keys[firsts], of[firsts] != of[lasts[: len(firsts)]]
+
+    def extended(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows that hold an anchor in the sorted ``shared``,
+        and the document of each."""
+        if not len(shared) or not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = shared[np.minimum(np.searchsorted(shared, self.keys), len(shared) - 1)] == self.keys
+        hit, of = self.spots[found], self.of[found]
+        edges = np.zeros(len(self.h) + 1, np.int32)
+        np.add.at(edges, np.maximum(hit - PERIOD + 1, self.starts[of]), 1)
+        np.add.at(edges, np.minimum(hit, self.last[of]) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+        return starts, np.searchsorted(self.starts, starts, side="right") - 1
+
+    def candidates(self, shared: np.ndarray):
+        """Starts and documents of the extended windows, their two keys, and
+        the order that sorts them by key and document id."""
+        starts, of = self.extended(shared)
+        a, b = sharded(windows(self.h, starts, self.span, 0), self.n_shards), windows(self.h, starts, self.span, 1)
+        ids = np.array([i or 0 for i in self.ids], np.int64)[of]
+        return starts, ids, a, b
 
 
 def least_ids(a, b, ids):
+    """Distinct windows in order, the smallest document of each, and for every
+    given window which of them it is."""
     order = np.lexsort((ids, b, a))
     a, b, ids = a[order], b[order], ids[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new], ids[new]
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return a[new], b[new], ids[new], which
 
 
 def by_shard(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -205,7 +220,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
 
     def list_windows(rows: pa.Table, values: pa.Table) -> pa.Table:
         block = Block(rows, span, n_shards)
-        a, b, ids = block.candidates(shared_of(block.listed()[0], by_kind(values, 0)))
+        _, ids, a, b = block.candidates(shared_of(block.listed()[0], by_kind(values, 0)))
+        a, b, ids, _ = least_ids(a, b, ids)
         number = rows.column("block")[0].as_py() if rows.num_rows else 0
         made = [batch(windows_schema, [s], [number], [pack(low(a[at]))], [pack(b[at])], [pack(ids[at])]) for s, at in by_shard(a)]
         return pa.Table.from_batches(made, windows_schema)
@@ -215,13 +231,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
             (n, unpack(a, np.uint32), unpack(b, np.uint64), unpack(i, np.int64))
             for h in held for n, a, b, i in zip(*(h.column(c).to_pylist() for c in ("block", "a", "b", "ids")))
         ]
-        a, b, ids = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
-        order = np.lexsort((b, a))
-        new = np.ones(len(a), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        firsts = np.flatnonzero(new)
-        least = np.empty(len(a), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(ids[order], firsts), np.diff([*firsts, len(a)]))
+        _, _, least, which = least_ids(*(np.concatenate([r[k] for r in rows]) for k in (1, 2, 3)))
+        least = least[which]
         at = 0
         for block, keys, _, own in rows:
             yield batch(bits_schema, [block], [int(shard)], [1], [pack(own - least[at : at + len(keys)])])
@@ -234,36 +245,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
 
     def clean(rows: pa.Table, values: pa.Table) -> pa.Table:
         block = Block(rows, span, n_shards)
-        shared = shared_of(block.listed()[0], by_kind(values, 0))
-        a, b, ids = block.candidates(shared)
+        starts, ids, a, b = block.candidates(shared_of(block.listed()[0], by_kind(values, 0)))
+        keys, _, least, which = least_ids(a, b, ids)
         smaller = by_kind(values, 1)
-        for shard, at in by_shard(a):
-            ids[at] -= unpack(smaller[shard], np.int64)
-        made = [cleaned(block, at, words, shared, a, b, ids) for at, words in block.texts()]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out_schema)] if made else [pa.array([], f.type) for f in out_schema], schema=out_schema)
+        for shard, at in by_shard(keys):
+            least[at] -= unpack(smaller[shard], np.int64)
+        drop = starts[least[which] < ids]
+        edges = np.zeros(len(block.h) + 1, np.int32)
+        np.add.at(edges, drop, 1)
+        np.add.at(edges, drop + span, -1)
+        under = np.cumsum(edges[:-1]) > 0
+        removed, kept = np.zeros(len(block.ids), np.int64), []
+        for k, words in enumerate(block.texts()):
+            gone = under[block.starts[k] : block.starts[k] + len(words)]
+            removed[k] = gone.sum()
+            kept.append(b" ".join(compress(words, (~gone).tolist()) if removed[k] else words))
+        kept = pa.array(kept, pa.binary()).cast(pa.string())
+        return pa.Table.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.counts), pa.array(removed), kept], schema=out_schema)
 
     return to_blocks(dealt, n_blocks, bits.unionByName(least), clean, f"`{id_col}` long, n_words long, n_removed long, kept string")
 
 
-def cleaned(block: Block, at, words, shared, a, b, least) -> tuple:
-    """A document's row, given the smallest document of every listed window."""
-    starts = block.extended(words, shared) if at is not None else ()
-    gone = np.zeros(len(words) + 1, np.int64)
-    if len(starts):
-        x, y = block.window_keys(words, starts)
-        lo, hi = np.searchsorted(a, x), np.searchsorted(a, x, side="right")
-        spot = lo.copy()
-        for k in np.flatnonzero(hi - lo > 1):  # windows that agree in the first key alone
-            spot[k] = lo[k] + np.searchsorted(b[lo[k] : hi[k]], y[k])
-        drop = starts[least[spot] < at]
-        np.add.at(gone, drop, 1)
-        np.add.at(gone, drop + block.span, -1)
-    under = np.cumsum(gone[:-1]) > 0
-    n = int(under.sum())
-    kept = words if not n else [w for w, g in zip(words, under.tolist()) if not g]
-    return at, len(words), n, b" ".join(kept).decode()
-
-
 def by_kind(values: pa.Table, kind: int) -> dict[int, bytes]:
     rows = zip(values.column("kind").to_pylist(), values.column("shard").to_pylist(), values.column("values"))
     return {s: v.as_py() for k, s, v in rows if k == kind}
