@@ -22,27 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, unpack
+from .common import held, pack, unpack
 from .dictionary import block_words, blocks_of, shard_values, sharded, texts_of, to_blocks
 
 #: The characters of Unicode's White_Space property.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
-_LOADED: dict[str, object] = {}
-
-
 def tokenizer(path: str):
     """The tokenizer of a vocabulary file, once per process."""
-    if path not in _LOADED:
+
+    def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _LOADED[path] = t
-    return _LOADED[path]
+        return t
+
+    return held("bpe", path, load)
 
 
 def special_strings(path: str) -> list[str]:
@@ -130,7 +129,8 @@ def _gather(flat: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def id_pieces(path: str) -> list[bytes]:
     """The id-to-piece table: the bytes that each id stands for."""
-    if ("pieces", path) not in _LOADED:
+
+    def load():
         t = tokenizer(path)
         # The byte-level alphabet: printable bytes stand for themselves, the
         # others for the characters from U+0100 on, in order.
@@ -141,8 +141,9 @@ def id_pieces(path: str) -> list[bytes]:
         for piece, i in t.get_vocab(with_added_tokens=True).items():
             known = all(c in byte_of for c in piece)
             table[i] = bytes(byte_of[c] for c in piece) if known else piece.encode()
-        _LOADED["pieces", path] = table
-    return _LOADED["pieces", path]
+        return table
+
+    return held("bpe", ("pieces", path), load)
 
 
 def decode(ids: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

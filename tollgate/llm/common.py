@@ -20,8 +20,10 @@ from ..session import ensure_checkpoint_dir, ship_package
 def prepare(spark: SparkSession) -> None:
     """Make the package importable on executors and the checkpoint folder
     known.  Arrow batches hold whole texts here, so they get fewer rows than
-    Spark's default of 10,000; that changes no result."""
+    Spark's default of 10,000, and a bound in bytes for very long ones; that
+    changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     ship_package(spark)
     ensure_checkpoint_dir(spark)
 
@@ -110,17 +112,26 @@ def share(df: DataFrame):
     return df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
-_BUILT: dict[int, object] = {}
+_HELD: dict[tuple, object] = {}
+
+
+def held(group: str, key, make: Callable[[], object]):
+    """What ``make`` returns, once per worker process.  Spark uses its Python
+    workers again for later jobs, so a worker holds the objects of one group
+    alone: the first call of another group lets them go."""
+    if (group, key) not in _HELD:
+        if any(g != group for g, _ in _HELD):
+            _HELD.clear()
+            pa.default_memory_pool().release_unused()
+        _HELD[group, key] = make()
+    return _HELD[group, key]
 
 
 def built(shared, make: Callable[[pa.Table], object]):
-    """What ``make`` builds from a shared table, once per worker process."""
+    """What ``make`` builds from a shared table, once per worker process; one
+    model is held at a time."""
     key = xxhash.xxh3_64_intdigest(shared.value)
-    if key not in _BUILT:
-        if len(_BUILT) > 3:
-            _BUILT.clear()
-        _BUILT[key] = make(pa.ipc.open_stream(shared.value).read_all())
-    return _BUILT[key]
+    return held(f"model {key}", key, lambda: make(pa.ipc.open_stream(shared.value).read_all()))
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

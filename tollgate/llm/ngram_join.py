@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, by_group, connected_components, pack, pieces, stored, total_bytes, unpack
+from .common import batch, by_group, connected_components, held, pack, pieces, stored, total_bytes, unpack
 
 WORDS = 5
 #: A sketch has the next power of two over four bits for each element, within these.
@@ -74,21 +74,20 @@ class WordCodes(dict):
     """64-bit codes of words; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = code = xxhash.xxh3_64_intdigest(word)
         return code
 
 
-_CODES = WordCodes()
-
 
 def element_codes(text: str | None) -> np.ndarray:
     """The sorted 64-bit codes of a text's distinct elements."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
+    codes = held("shingles", "words", WordCodes)
+    w = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
     n = min(len(w), WORDS)
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
