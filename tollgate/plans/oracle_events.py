@@ -136,13 +136,12 @@ FROM seq s JOIN walk w ON w.kind = s.kind AND w.app_name = s.app_name AND w.rn =
 
 
 ALERT_COOLDOWN = cooldown_sql()
-STREAM_EVENTS = cooldown_sql(("request",))
 
 
 def oracle_sql() -> dict:
     return {
         "alert_cooldown": ALERT_COOLDOWN,
-        "stream_events": STREAM_EVENTS,
+        "stream_events": ALERT_COOLDOWN,
         "build_events": BUILD_EVENTS,
         "alert_intervals": ALERT_INTERVALS,
         "recent_activity": RECENT_ACTIVITY,

@@ -96,17 +96,31 @@ def policy_verdicts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stream_policy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log replayed as four time-ordered arrivals through the
-    streaming job; must equal the batch verdicts."""
+def _replayed(spark: SparkSession, sf_dir: str, n_parts: int = 4, **kw):
+    """The logs in ``n_parts`` arrivals of equal event-time length, through the
+    streaming queries (all logs by the one clock of the requests)."""
     import uuid
 
-    from ..streaming.stream_policy import replay_in_time_chunks
+    from ..streaming.stream_policy import Replay
 
-    work = fx.stored_path(spark, sf_dir, f"stream-{uuid.uuid4().hex[:8]}")
-    v = replay_in_time_chunks(
-        spark, fx.requests(spark, sf_dir), fx.decisions(spark, sf_dir), fx.connections(spark, sf_dir), work
-    )
+    logs = {"requests": (fx.requests, "ts"), "decisions": (fx.decisions, "ts"), "connections": (fx.connections, "observed_at")}
+    if kw.get("events"):
+        logs["frames"] = (fx.frames, "ts")
+        kw["frames_custom"] = TQ.custom_catalogue(spark, sf_dir)
+    logs = {name: (read(spark, sf_dir), F.unix_micros(F.col(ts))) for name, (read, ts) in logs.items()}
+    rows, t = logs["requests"]
+    lo, hi = rows.agg(F.min(t), F.max(t)).first()
+    replay = Replay(spark, fx.stored_path(spark, sf_dir, f"stream-{uuid.uuid4().hex[:8]}"), **kw)
+    for k in range(n_parts):
+        part = lambda at: F.least(F.greatest(F.floor((at - lo) * n_parts / (hi - lo + 1)), F.lit(0)), F.lit(n_parts - 1))
+        replay.arrive(**{name: log.filter(part(at) == k) for name, (log, at) in logs.items()})
+    return replay
+
+
+def stream_policy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, decisions and snapshots in four time-ordered arrivals
+    through the streaming job; must equal the batch verdicts."""
+    v = _replayed(spark, sf_dir).verdicts()
     return v.select(
         "request_id", "app_name", "rule", "allowed", "event_kind", "requires_decision", "provider_name",
         "event_model", F.concat_ws(", ", "labels").alias("labels"), "burst_count",
@@ -114,17 +128,9 @@ def stream_policy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_events_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J18 events: the replayed stream's event sink with the cooldown flag
-    carried across micro-batches (request events)."""
-    import uuid
-
-    from ..streaming.stream_policy import replay_in_time_chunks
-
-    work = fx.stored_path(spark, sf_dir, f"stream-{uuid.uuid4().hex[:8]}")
-    replay_in_time_chunks(
-        spark, fx.requests(spark, sf_dir), fx.decisions(spark, sf_dir), fx.connections(spark, sf_dir), work
-    )
-    ev = spark.read.parquet(f"{work}/sink_events")
+    """J18 events: requests, frames and decisions in one event stream with the
+    cooldown flag carried in keyed state."""
+    ev = _replayed(spark, sf_dir, events=True).events()
     return ev.select("id", "kind", "app_name", "source", "source_id", "shown")
 
 
