@@ -482,3 +482,26 @@ SELECT host, name, approved, local, 'builtin' AS origin, CAST(ord AS BIGINT) AS
 UNION ALL SELECT host, name, approved, local, origin, ord, CAST(1 AS BIGINT) FROM custom
 UNION ALL SELECT host, name, approved, local, origin, ord, CAST(2 AS BIGINT) FROM added
 """
+
+
+def arrivals_sql(parts: int, lateness_s: int) -> str:
+    """The class of every request, from the newest event time of the parts that
+    came before its own (requests and decisions)."""
+    return f"""
+WITH {_base_ctes()},
+span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM requests),
+came AS (
+  SELECT request_id, epoch_us(ts) // 1000 AS ms,
+         CAST(floor((epoch_us(ts) - lo) * {parts} / (hi - lo + 1)) AS INT)
+         + CASE WHEN request_id % 35 = 0 THEN 2 WHEN request_id % 5 = 0 THEN 1 ELSE 0 END AS k
+  FROM requests, span
+  UNION ALL
+  SELECT NULL, epoch_us(ts) // 1000, CAST(least(greatest(floor((epoch_us(ts) - lo) * {parts} / (hi - lo + 1)), 0), {parts - 1}) AS INT)
+  FROM decisions, span),
+newest AS (SELECT k, max(ms) AS ms FROM came GROUP BY k),
+known AS (SELECT a.k, max(b.ms) AS ms FROM newest a LEFT JOIN newest b ON b.k < a.k GROUP BY a.k)
+SELECT request_id,
+       CASE WHEN known.ms IS NULL OR came.ms >= known.ms THEN 'on_time' WHEN came.ms >= known.ms - {lateness_s * 1000} THEN 'late' ELSE 'rejected' END AS arrival,
+       known.ms IS NULL OR came.ms >= known.ms - {lateness_s * 1000} AS judged
+FROM came JOIN known USING (k) WHERE request_id IS NOT NULL
+"""

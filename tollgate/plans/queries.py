@@ -117,6 +117,27 @@ def _replayed(spark: SparkSession, sf_dir: str, n_parts: int = 4, **kw):
     return replay
 
 
+#: Parts of event time, and how late a request may be, in ``stream_arrivals``.
+LATE_PARTS, LATENESS_S = 3, 60
+
+
+def stream_arrivals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-1: every fifth request comes a part late, every 35th two parts: each
+    leaves once, as on_time, late (judged as of its time) or rejected."""
+    from ..streaming.stream_policy import Replay
+
+    import uuid
+
+    req, dec, con = fx.requests(spark, sf_dir), fx.decisions(spark, sf_dir), fx.connections(spark, sf_dir)
+    lo, hi = req.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = lambda ts: F.least(F.greatest(F.floor((F.unix_micros(ts) - lo) * LATE_PARTS / (hi - lo + 1)), F.lit(0)), F.lit(LATE_PARTS - 1))
+    waits = F.when(F.col("request_id") % 35 == 0, 2).when(F.col("request_id") % 5 == 0, 1).otherwise(0)
+    replay = Replay(spark, fx.stored_path(spark, sf_dir, f"stream-{uuid.uuid4().hex[:8]}"), lateness_s=LATENESS_S)
+    for k in range(LATE_PARTS + 2):
+        replay.arrive(requests=req.filter(part("ts") + waits == k), decisions=dec.filter(part("ts") == k), connections=con.filter(part("observed_at") == k))
+    return replay.verdicts().select("request_id", "arrival", F.col("rule").isNotNull().alias("judged"))
+
+
 def stream_policy_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests, decisions and snapshots in four time-ordered arrivals
     through the streaming job; must equal the batch verdicts."""
@@ -157,6 +178,7 @@ def _raw_queries() -> dict[str, QueryFn]:
         "policy_verdicts": policy_verdicts_q,
         "stream_policy": stream_policy_q,
         "stream_events": stream_events_q,
+        "stream_arrivals": stream_arrivals_q,
         **TQ.queries(),
         **EQ.queries(),
         "redact_documents": redact_documents,
@@ -170,6 +192,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "policy_verdicts": OT.POLICY,
         "stream_policy": OT.POLICY,
+        "stream_arrivals": OT.arrivals_sql(LATE_PARTS, LATENESS_S),
         **TQ.oracle_sql(),
         **OE.oracle_sql(),
         "redact_documents": _redaction_sql("documents", ["doc_id"], "text"),
