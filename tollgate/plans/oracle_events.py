@@ -12,7 +12,7 @@ from ..functions.constants import (
 from ..operators.events import MESSAGE_TEMPLATES, _split
 from ..sources.fixtures import EPOCH_US
 from .oracle import q
-from .oracle_traffic import EVENT_SUBJECT, _TS, _custom_snapshot, frames_ctes, policy_core
+from .oracle_traffic import EVENT_SUBJECT, REDACT_BODIES, _TS, _custom_snapshot, frames_ctes, policy_core
 
 
 def _sql_fmt(template: str, cols: dict[str, str]) -> str:
@@ -138,10 +138,28 @@ FROM seq s JOIN walk w ON w.kind = s.kind AND w.app_name = s.app_name AND w.rn =
 ALERT_COOLDOWN = cooldown_sql()
 
 
+def _responses_sql() -> str:
+    cols = {"a": "app_name", "h": "host", "n": "subject", "m": "substring(model, 1, 60)", "l": "labels"}
+    why = _messages("rule", cols)[1]
+    return policy_core() + f""",
+seen AS (SELECT *, {EVENT_SUBJECT} AS subject FROM fin2),
+rewritten AS ({REDACT_BODIES})
+SELECT s.request_id, s.rule, CASE WHEN blocked THEN 403 END AS status_code,
+       CASE WHEN blocked THEN CAST(to_json({{'error': {{'type': 'blocked_by_policy', 'message': why, 'code': 'egress_protection_active'}}}}) AS VARCHAR) END AS block_body,
+       CASE WHEN s.rule IN ('R7b', 'R7s', 'R7c', 'R3e') AND coalesce(s.labels, '') <> '' THEN sha256(r.modified_body) END AS modified_sha256
+FROM (SELECT *, rule IN ('R4a', 'R4b', 'R1a', 'R1c', 'R2a', 'R2b', 'R5') AS blocked, {why} AS why FROM seen) s
+LEFT JOIN rewritten r ON r.request_id = s.request_id
+"""
+
+
+RESPONSES = _responses_sql()
+
+
 def oracle_sql() -> dict:
     return {
         "alert_cooldown": ALERT_COOLDOWN,
         "stream_events": ALERT_COOLDOWN,
+        "policy_responses": RESPONSES,
         "build_events": BUILD_EVENTS,
         "alert_intervals": ALERT_INTERVALS,
         "recent_activity": RECENT_ACTIVITY,

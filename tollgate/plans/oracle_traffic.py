@@ -505,3 +505,13 @@ SELECT request_id,
        known.ms IS NULL OR came.ms >= known.ms - {lateness_s * 1000} AS judged
 FROM came JOIN known USING (k) WHERE request_id IS NOT NULL
 """
+
+
+READ_REQUESTS = f"""
+WITH {_base_ctes()},
+lines AS (SELECT *, request_id % 97 = 0 OR request_id % 101 = 0 AS broken FROM requests)
+SELECT CASE WHEN NOT broken THEN request_id END AS request_id, CASE WHEN NOT broken THEN epoch_us(ts) END AS ts_us,
+       CASE WHEN NOT broken THEN app_name END AS app_name, CASE WHEN NOT broken THEN host END AS host, CASE WHEN NOT broken THEN path END AS path,
+       CASE WHEN NOT broken THEN CAST(dst_port AS BIGINT) END AS dst_port, CASE WHEN NOT broken THEN sha256(body) END AS body_sha256, broken
+FROM lines
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.redact import is_opaque, redact_text
+from ..sources.readers import columns as log_columns
 from ..sources.tables import table
 from ..session import ship_package
 from ..sources import fixtures as fx
@@ -117,6 +118,40 @@ def _replayed(spark: SparkSession, sf_dir: str, n_parts: int = 4, **kw):
     return replay
 
 
+def policy_responses_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the client gets: the status and body of a block, the digest of
+    a rewritten request."""
+    from .event_queries import verdict_table
+
+    v = verdict_table(spark, sf_dir)
+    return v.select(
+        "request_id", "rule", F.col("status_code").cast("long").alias("status_code"), "block_body",
+        F.sha2(F.col("modified_body").cast("binary"), 256).alias("modified_sha256"),
+    )
+
+
+def read_request_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log as JSON lines, every 97th line cut off after 40
+    characters and every 101st without a valid time, read with the fixed schema:
+    good rows by their fields, broken ones by the digest of the line."""
+    import uuid
+
+    from ..sources.readers import log_lines
+
+    i, path = F.col("request_id"), fx.stored_path(spark, sf_dir, f"lines-{uuid.uuid4().hex[:8]}")
+    rows = fx.requests(spark, sf_dir).select(*log_columns("requests"))
+    when = F.when(i % 101 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    line = F.to_json(F.struct(*(when.alias(c) if c == "ts" else F.col(c) for c in rows.columns)))
+    rows.select(F.when(i % 97 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+    lines = log_lines(spark, "requests", path)
+    good = F.col("broken_line").isNull()
+    return lines.select(
+        F.when(good, F.col("request_id")).alias("request_id"), F.when(good, F.unix_micros("ts")).alias("ts_us"),
+        *(F.when(good, F.col(c)).alias(c) for c in ("app_name", "host", "path")), F.when(good, F.col("dst_port")).cast("long").alias("dst_port"),
+        F.when(good, F.sha2(F.col("body").cast("binary"), 256)).alias("body_sha256"), (~good).alias("broken"),
+    )
+
+
 #: Parts of event time, and how late a request may be, in ``stream_arrivals``.
 LATE_PARTS, LATENESS_S = 3, 60
 
@@ -179,6 +214,8 @@ def _raw_queries() -> dict[str, QueryFn]:
         "stream_policy": stream_policy_q,
         "stream_events": stream_events_q,
         "stream_arrivals": stream_arrivals_q,
+        "policy_responses": policy_responses_q,
+        "read_request_log": read_request_log_q,
         **TQ.queries(),
         **EQ.queries(),
         "redact_documents": redact_documents,
@@ -192,6 +229,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "policy_verdicts": OT.POLICY,
         "stream_policy": OT.POLICY,
+        "read_request_log": OT.READ_REQUESTS,
         "stream_arrivals": OT.arrivals_sql(LATE_PARTS, LATENESS_S),
         **TQ.oracle_sql(),
         **OE.oracle_sql(),
