@@ -3,6 +3,8 @@ connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -67,6 +69,27 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
+def trim() -> None:
+    """Give memory that this worker process has freed back to the system;
+    Spark keeps its workers, and what they hold stays on the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library returns memory by itself
+        pass
+
+
+def trimmed(func: Callable) -> Callable:
+    """``func``, a generator over a task's batches, with ``trim`` at its end."""
+
+    @functools.wraps(func)
+    def run(batches):
+        yield from func(batches)
+        trim()
+
+    return run
+
+
 def by_group(
     df: DataFrame,
     key: str,
@@ -100,7 +123,7 @@ def by_group(
         if held:
             yield from func(now, held)
 
-    return dealt.sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(key, *order).mapInArrow(trimmed(run), schema)
 
 
 def share(df: DataFrame):
@@ -122,7 +145,7 @@ def held(group: str, key, make: Callable[[], object]):
     if (group, key) not in _HELD:
         if any(g != group for g, _ in _HELD):
             _HELD.clear()
-            pa.default_memory_pool().release_unused()
+            trim()
         _HELD[group, key] = make()
     return _HELD[group, key]
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, by_group, connected_components, held, pack, pieces, stored, total_bytes, unpack
+from .common import batch, by_group, connected_components, held, pack, pieces, stored, total_bytes, trimmed, unpack
 
 WORDS = 5
 #: A sketch has the next power of two over four bits for each element, within these.
@@ -74,7 +74,7 @@ class WordCodes(dict):
     """64-bit codes of words; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 65_536:
             self.clear()
         self[word] = code = xxhash.xxh3_64_intdigest(word)
         return code
@@ -220,7 +220,7 @@ def dealt(docs: DataFrame, n_shards: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "shard int, keys binary, sets binary, id long, n long, f1 long, sketch binary")
+    return docs.mapInArrow(trimmed(run), "shard int, keys binary, sets binary, id long, n long, f1 long, sketch binary")
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -335,7 +335,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct().join(classes.select("f1", "rep"), "f1")
     reps = wanted.select("rep").distinct()
     texts = marked(docs, reps).where("__hit").join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.select("text").mapInArrow(run, "set long, codes binary")
+    sets = texts.select("text").mapInArrow(trimmed(run), "set long, codes binary")
     sets = sets.join(wanted, F.col("set") == F.col("f1"), "left_semi").groupBy("set").agg(F.first("codes").alias("codes"))
     sets = stored(sets)
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("codes").alias("c1")), "a").join(
