@@ -40,6 +40,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def total_bytes(df: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of a text column (one scalar reaches the driver)."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])

@@ -1,16 +1,22 @@
 """Operator 9: surrogates for personal data.
 
-Detected: e-mail addresses, phone numbers, card and account numbers, IPv4
-addresses, secrets, and persons (a title or a listed given name, with the
-names that follow).  Each distinct entity gets one surrogate, drawn from a
+Detected: e-mail addresses, phone numbers, card numbers, IBANs, social
+security numbers (three, two and four digits), IPv4 and IPv6 addresses (an
+IPv6 address of three groups or more, or two with a first one of four digits),
+secrets, and persons (a title or a listed given name, with the names that
+follow).  A name word found once in a text goes at each of its mentions there:
+bare, in capitals, before a possessive or plural s, and as a part of a
+compound.  Each distinct entity gets one surrogate, drawn from a
 keyed hash (HMAC-SHA256) of its type and canonical form, so it is replaced
 alike in every document and form; names are replaced word by word, so 'Mrs
 Anna Keller' and 'Mrs Keller' stay the same person.  Surrogates keep the type
-and the format: lengths, separators, case, digits as digits, the check digit's
-validity of card numbers, private IPv4 addresses as private ones (of the same
-range while it has free ones), the script of names, and the gender of listed
+and the format: lengths, separators, case, digits as digits, the check digits'
+validity of card numbers and IBANs, an IBAN's country, private addresses as
+private ones (of the same range while it has free ones), the script of names
+(every letter becomes another one of its alphabet), and the gender of listed
 given names (titles stay): their surrogates are other given names and, when
-those are used up, double names of them.
+those are used up, double names of them.  Where a format has no free value
+left, later attempts make surrogates longer, so the draw always ends.
 
 The distinct entities of all documents form a table.  Surrogates that two
 entities share, or that equal an entity of the data, are drawn again until all
@@ -18,21 +24,27 @@ are distinct; only then are documents rewritten, through a join on the text's
 hash that only texts with entities enter.
 
 Null text stays null and has no entities.  Empty tables give empty results.
-Repeated rows are rewritten alike.  All columns are kept; ``n_chars``, where
+Repeated rows are rewritten alike.  All columns are kept, whatever their names
+(``n_entities`` is replaced); ``n_chars``, where
 there is one, is the new length."""
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, count
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import fresh, stored
 
 #: Given names that are searched for, by gender and script.
 LISTED = {
@@ -52,7 +64,7 @@ GIVEN = {group: names + SURROGATES[group] for group, names in LISTED.items()}
 TITLES = set("Mr Mr. Mrs Mrs. Ms Ms. Miss Dr Dr. Prof Prof. Herr Frau Monsieur Madame Señor Señora Sr. Sra. Г-н Г-жа".split())
 LETTERS = {  # alphabets whose letters stand in for one another
     "latin": ("aeiou", "bcdfghklmnprstvw"),
-    "accented": ("àáâäèéêëìíîïòóôöùúûü", "çñß"),
+    "accented": ("àáâäèéêëìíîïòóôöùúûü", "bcdfghklmnprstvw"),
     "cyrillic": ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ"),
     "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
 }
@@ -71,7 +83,16 @@ _PHONE = re.compile(
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)")
-_NEXT_NAME = re.compile(r"\s+([^\W\d_]+(?:[-'’][^\W\d_]+)*)")
+_IPV6 = re.compile(
+    r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?!\w|:[0-9A-Fa-f:]|\.\d)"
+)
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
+_SSN = re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?!\w|[.-]\d)")
+_WORD = r"(?:\p{L}\p{M}*)+"
+_NEXT_NAME = regex.compile(rf"\s+({_WORD}(?:[-'’]{_WORD})*)")
+_MENTION = regex.compile(rf"(?<![^\W_]){_WORD}(?:[-'’]{_WORD})*(?![^\W_])")
+_PART = regex.compile(_WORD)
+_POSSESSIVE = re.compile(r"['’][sS]?$")
 _JOINED_BEFORE = re.compile(r"(?:-[^\W\d_]*[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я](?![^\W_]))*")  # read backwards
 _JOINED_AFTER = re.compile(r"(?:-(?=[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я])[^\W\d_]+(?![^\W_]))*")
 _RUN = re.compile(r"[^\W_]+")
@@ -107,18 +128,88 @@ def _names(text: str):
                 spans.append((lo, end))
             while whole and n < 2:
                 m = _NEXT_NAME.match(text, end)
-                if not m or not m[1][0].isupper() or m[1] in TITLES:
+                if not m or not starts_name(m[1]) or m[1] in TITLES:
                     break
-                spans.append(m.span(1))
-                end, n = m.end(), n + 1
+                a, b = m.span(1)
+                spans.append((a, b - len(m[1]) + len(_POSSESSIVE.sub("", m[1]))))
+                end, n = b, n + 1
             if len(spans) > given:  # a given name alone may be any word
                 yield from spans
             at = text.find(start, at + 1)
 
 
+def starts_name(word: str) -> bool:
+    """Whether a word has a capital, or a script without capitals."""
+    return word[0].title()[0] == word[0]
+
+
+def _mentions(text: str, known: set[str], n_found: int):
+    """Spans of all mentions of name words, ``n_found`` of which are found."""
+    known = known | {p for n in known for p in _PART.findall(n) if p != n and len(p) > 2}
+    folded = text.casefold()
+    if sum(map(folded.count, known)) == n_found:  # each is found already
+        return
+    for m in _MENTION.finditer(text):
+        word, at = m[0], m.start()
+        if not starts_name(word):
+            at = None  # only capitals within it may be names
+        whole = word.casefold()
+        bare = _POSSESSIVE.sub("", word)
+        if at is not None and len(bare) > 1:
+            if whole in known:
+                yield m.span()
+                continue
+            if bare.casefold() in known:
+                yield at, at + len(bare)
+                continue
+            if whole[-1] == "s" and whole[:-1] in known and len(whole) > 2:
+                yield at, m.end() - 1
+                continue
+        for p in _PART.finditer(word):
+            if len(p[0]) > 1 and p[0] != word and starts_name(p[0]) and p[0].casefold() in known:
+                yield m.start() + p.start(), m.start() + p.end()
+
+
+def _ibans(text: str):
+    for m in _IBAN.finditer(text):
+        own = m[0]
+        while " " in own and not iban_valid(own):  # words in capitals may follow
+            own = own.rsplit(" ", 1)[0]
+        if len(own) > 14 and iban_valid(own):
+            yield m.start(), m.start() + len(own)
+        elif all(any(c.isdigit() for c in g) for g in m[0].split()) and 2 * sum(c.isdigit() for c in m[0]) > len(m[0]):
+            yield m.span()
+
+
+def iban_check(country: str, rest: str) -> str:
+    """The check digits of an account in a country (ISO 7064, mod 97)."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
+
+
+def iban_valid(surface: str) -> bool:
+    own = surface.replace(" ", "")
+    return iban_check(own[:2], own[4:]) == own[2:4]
+
+
+def _ipv6(text: str):
+    for m in _IPV6.finditer(text):
+        groups = [g for g in m[0].split(":") if g]
+        if len(groups) > 2 or len(groups) == 2 and len(groups[0]) == 4:
+            try:
+                ipaddress.IPv6Address(m[0])
+            except ValueError:  # a time, a hardware address
+                continue
+            if any(c.isdigit() for c in m[0]):
+                yield m.span()
+
+
 def canonical(kind: str, surface: str) -> str:
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "ssn"):
         return re.sub(r"\D", "", surface)
+    if kind == "iban":
+        return surface.replace(" ", "")
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(surface))
     return surface.casefold() if kind in ("email", "name") else surface
 
 
@@ -132,16 +223,45 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         found += [(0, a, b, "email") for a, b in _emails(text)]
     if digits or "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            found.append((1, *m.span(1 if m[1] else 2), "secret"))
+            if any(c.isalnum() for c in m[1] or m[2]):
+                found.append((1, *m.span(1 if m[1] else 2), "secret"))
     if digits:
-        for rank, kind, pattern in ((2, "card", _CARD), (3, "phone", _PHONE), (4, "ipv4", _IPV4)):
+        found += [(2, a, b, "iban") for a, b in _ibans(text)]
+        if "::" in text or text.count(":") > 6:
+            found += [(2, a, b, "ipv6") for a, b in _ipv6(text)]
+        for rank, kind, pattern in ((3, "ssn", _SSN), (4, "card", _CARD), (5, "phone", _PHONE), (6, "ipv4", _IPV4)):
             found += [(rank, *m.span(), kind) for m in pattern.finditer(text)]
-    found += [(5, a, b, "name") for a, b in _names(text)]
+    names = list(_names(text))
+    found += [(7, a, b, "name") for a, b in names]
+    if names:
+        known = {text[a:b].casefold() for a, b in names if b - a > 1}
+        found += [(8, a, b, "name") for a, b in _mentions(text, known, len(set(names)))]
     taken: list[tuple[int, int, str, str]] = []
     for _, a, b, kind in sorted(set(found)):
-        if all(b <= x or a >= y for x, y, *_ in taken):
-            taken.append((a, b, kind, canonical(kind, text[a:b])))
-    return sorted(taken)
+        at = bisect(taken, (a,))
+        if (not at or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+            taken.insert(at, (a, b, kind, canonical(kind, text[a:b])))
+    return taken
+
+
+@lru_cache(maxsize=4096)
+def alphabet(low: str) -> str:
+    """The letters that a lower-case letter may become, itself excluded: its
+    class in ``LETTERS``, else letters of its script and case that stand near
+    it in Unicode."""
+    base = unicodedata.normalize("NFD", low)[0]
+    script = unicodedata.name(base, "?").split()[0].lower()
+    own = next((s for pair in LETTERS.values() for s in pair if low in s), None)
+    own = own or next((s for pair in LETTERS.values() for s in pair if base in s), None)
+    if own is None and script in LETTERS:
+        own = LETTERS[script][1]
+    if own is None:
+        page = range(ord(base) & ~0x7F, (ord(base) | 0x7F) + 1)
+        own = "".join(
+            c for c in map(chr, page)
+            if unicodedata.category(c) == unicodedata.category(base) and unicodedata.name(c, "?").split()[0].lower() == script
+        )
+    return own.replace(low, "")
 
 
 class Draw:
@@ -166,13 +286,13 @@ class Draw:
                 out.append(h.upper() if text.upper() == text else h)
             elif c in "0123456789":
                 out.append("0123456789"[self.below(10)])
-            else:
-                low = c.lower()
-                own = next((s for pair in LETTERS.values() for s in pair if low in s), None)
-                if own is None:
-                    own = LETTERS["latin"][1] if "a" <= low <= "z" else None
+            elif c.isalpha():
+                own = alphabet(c.lower())
                 new = own[self.below(len(own))] if own else c
-                out.append(new.upper() if c.isupper() else new)
+                upper = new.upper() if c.isupper() else new
+                out.append(upper if len(upper) == 1 else new)
+            else:
+                out.append(c)
         return "".join(out)
 
 
@@ -215,6 +335,22 @@ def address(own: list[int], attempt: int, draw: Draw) -> list[int]:
     return head + [1 + draw.below(254) for _ in range(4 - len(head))]
 
 
+def address6(entity: str, attempt: int, draw: Draw) -> str:
+    """An IPv6 address with as many groups: link-local, unique local and
+    documentation addresses stay such, others become global unicast ones.
+    Late attempts fill all groups."""
+    own = [int(g, 16) for g in ipaddress.IPv6Address(entity).exploded.split(":")]
+    if own[0] == 0x2001 and own[1] == 0xDB8:
+        head = own[:2]
+    elif own[0] >> 6 == 0xFE80 >> 6 or own[0] >> 9 == 0xFC00 >> 9:
+        head = own[:1]
+    else:
+        head = [0x2000 + draw.below(0x2000)]
+    rest = [1] * (8 - len(head)) if attempt >= 8 else own[len(head) :]
+    drawn = [1 + draw.below((0x10000 if attempt >= 4 else 16 ** len(f"{g:x}")) - 1) if g else 0 for g in rest]
+    return str(ipaddress.IPv6Address(":".join(f"{g:x}" for g in head + drawn)))
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The ``attempt``-th surrogate of a canonical form, in canonical form."""
     draw = Draw(key, kind, entity, attempt)
@@ -223,35 +359,50 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         labels = domain.split(".")
         base = f"example.{('com', 'org', 'net')[draw.below(3)]}"
         hosts = [draw.like(x) for x in labels[:-2]]
-        return f"{draw.like(local)}{'' if attempt < 4 else draw.below(10**6)}@{'.'.join([*hosts, base])}"
+        return f"{draw.like(local)}{'' if attempt < 4 else draw.below(10 ** min(9, 5 + attempt // 4))}@{'.'.join([*hosts, base])}"
     if kind == "card":
-        body = entity[0] + draw.like(entity[1:-1])
+        body = entity[0] + draw.like(entity[1:-1] + "0" * (attempt // 16))
         last = next(str(d) for d in range(10) if luhn(body + str(d)))
         return body + (last if luhn(entity) else str((int(last) + 1 + draw.below(9)) % 10))
     if kind == "phone":
         keep = max(0, len(entity) - 10)  # the country code
-        return entity[:keep] + str(2 + draw.below(8)) + draw.like(entity[keep + 1 :])
+        return entity[:keep] + str(2 + draw.below(8)) + draw.like(entity[keep + 1 :] + "0" * (attempt // 8))
+    if kind == "ssn":
+        return draw.like(entity + "0" * (attempt // 16))
+    if kind == "iban":
+        rest = draw.like(entity[4:] + "0" * (attempt // 16))
+        check = iban_check(entity[:2], rest)
+        if not iban_valid(entity):
+            check = f"{(int(check) + 1 + draw.below(96)) % 97:02d}"
+        return entity[:2] + check + rest
+    if kind == "ipv6":
+        return address6(entity, attempt, draw)
+    if kind == "ipv4" and attempt >= 64:  # no IPv4 address is free
+        return address6("2001:db8::", attempt, draw)
     if kind == "ipv4":
         return ".".join(map(str, address([int(x) for x in entity.split(".")], attempt, draw)))
     if kind == "secret":
-        return draw.like(entity, hexa=re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity) is not None)
+        return draw.like(entity + "a" * (attempt // 8), hexa=re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity) is not None)
     words = entity.split("-")
     group = next((_GROUP[w] for w in words if w in _GROUP), None)
     if group:
         return given_name(key, group, words, attempt, draw)
-    return draw.like(entity + "an" * (attempt // 4))
+    letters = [c for c in entity if c.isalpha()]
+    return draw.like(entity + "".join((letters * (1 + attempt // 4))[: attempt // 4 * 2]))
 
 
 def dressed(kind: str, surface: str, new: str) -> str:
     """A surrogate in the format of the replaced text."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "ssn", "iban"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in surface)
+        return "".join(next(digits) if c.isalnum() else c for c in surface) + "".join(digits)
+    if kind == "ipv6" and surface.isupper():
+        return new.upper()
     if kind in ("email", "name"):
         if surface.isupper() and len(surface) > 1:
             return new.upper()
         if kind == "name" and surface[:1].isupper():
-            return re.sub(r"(^|[-'’])(\w)", lambda m: m[1] + m[2].upper(), new)
+            return re.sub(r"(^|[-'’])(\w)", lambda m: m[1] + m[2].title(), new)
     return new
 
 
@@ -268,8 +419,9 @@ def _has_entity(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: bool(entities(t))).astype(bool)
 
 
-def surrogates(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
-    """(kind, entity, surrogate), all distinct, none an entity of the data."""
+def surrogates(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, surrogate), all distinct, none an entity of the data.
+    Every attempt after the first has fewer entities left, and room for more."""
     real = stored(found.select("kind", "entity").distinct())
 
     def drawn(pending: DataFrame, attempt: int) -> DataFrame:
@@ -280,7 +432,7 @@ def surrogates(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
         return stored(pending.select("kind", "entity", draw("kind", "entity").alias("surrogate")))
 
     done, pending = None, real
-    for attempt in range(rounds):
+    for attempt in count():
         new = drawn(pending, attempt)
         free = new.join(real.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -290,13 +442,13 @@ def surrogates(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
         pending = stored(pending.join(won, ["kind", "entity"], "left_anti"))
         if not pending.take(1):
             return done
-    raise ValueError(f"no distinct surrogates after {rounds} rounds")
 
 
 def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates, and ``n_entities``, the distinct entities of a text."""
     columns = [c for c in docs.columns if c != "n_entities"]
     docs = docs.select(*columns)
+    own_mark, new = fresh(columns, "mark"), fresh(columns, "new")
     mark = F.md5(F.col(text_col).cast("binary"))
     dirty = docs.where(F.col(text_col).isNotNull() & _has_entity(text_col))
     listed = stored(dirty.select(mark.alias("mark"), _entities_of(text_col).alias("own")).dropDuplicates(["mark"]))
@@ -304,7 +456,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     table = stored(surrogates(each, key))
     # One text holds its own entities only, whatever the number of documents.
     maps = each.join(table, ["kind", "entity"]).groupBy("mark").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "entity"), "surrogate"))).alias("new")
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "entity"), "surrogate"))).alias(new)
     )
 
     @F.pandas_udf(T.StringType())
@@ -319,9 +471,9 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
                 out.append("".join([*parts, text[at:]]))
             yield pd.Series(out, dtype=object)
 
-    changed = dirty.withColumn("__mark", mark).join(maps.withColumnRenamed("mark", "__mark"), "__mark")
-    changed = changed.withColumn(text_col, rewritten(F.col(text_col), F.col("new"))).withColumn(
-        "n_entities", F.size("new").cast("long")
+    changed = dirty.withColumn(own_mark, mark).join(maps.withColumnRenamed("mark", own_mark), own_mark)
+    changed = changed.withColumn(text_col, rewritten(F.col(text_col), F.col(new))).withColumn(
+        "n_entities", F.size(new).cast("long")
     )
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
