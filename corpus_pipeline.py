@@ -19,7 +19,7 @@ from tollgate.sources.tables import table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney classifier keeps."""
     prepare(spark)
-    return quality_lm.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality_lm.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
