@@ -18,7 +18,7 @@ more than that, D being the bound for its own size.
 Where many sets share a segment no pairs of the group are listed.  Each set is
 first compared with one partner only, the smallest member of the group it
 shares most segments with.  After joining those links to components, the
-groups that still hold several components are compared block by block,
+groups that still hold several components, one for each list of members, are compared block by block,
 between components alone, through parity sketches of four bits or more for
 each element: for two rounds each set with its closest candidate, then with
 all that are left.  Sets of pairs that pass are compared exactly (5-grams as 64-bit codes; equal sets are told
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, by_group, connected_components, held, pack, pieces, stored, total_bytes, trimmed, unpack
+from .common import batch, by_group, connected_components, fresh, held, pack, pieces, stored, total_bytes, trimmed, unpack
 
 WORDS = 5
 #: A sketch has the next power of two over four bits for each element, within these.
@@ -311,13 +311,14 @@ def marked(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     A bitmap of 2^23 hashed ids is broadcast: at most 131,072 rows of 64 bits,
     whatever the input.  Null ids hit."""
     place = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(1 << 23)), F.lit(0))
-    bits = ids.select(place(F.col(ids.columns[0]).cast("long")).alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits")
+    word, at_bit, own_bits = (fresh(docs.columns, n) for n in ("word", "p", "bits"))
+    bits = ids.select(place(F.col(ids.columns[0]).cast("long")).alias("p")).groupBy(F.shiftright("p", 6).alias(word)).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias(own_bits)
     )
-    at = docs.withColumn("__p", place(F.col(id_col).cast("long")))
-    found = at.join(F.broadcast(bits), F.shiftright("__p", 6) == F.col("__word"), "left")
-    hit = F.coalesce(F.expr("shiftright(__bits, cast(__p & 63 as int)) & 1L = 1"), F.lit(False)) | F.col(id_col).isNull()
-    return found.withColumn("__hit", hit).select(*docs.columns, "__hit")
+    at = docs.withColumn(at_bit, place(F.col(id_col).cast("long")))
+    found = at.join(F.broadcast(bits), F.shiftright(at_bit, 6) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"shiftright({own_bits}, cast({at_bit} & 63 as int)) & 1L = 1"), F.lit(False)) | F.col(id_col).isNull()
+    return found.select(*docs.columns, hit.alias("__hit"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -367,8 +368,14 @@ def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame, cl
         parts.select(F.col("node").alias("f1"), "component"), "f1", "left"
     ).withColumn("component", F.coalesce("component", "f1"))
     groups = placed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
-    ).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("f1")).alias("m1"), F.bit_xor(F.xxhash64(F.lit("again"), "f1")).alias("m2"),
+    ).where("lo < hi")
+    # Near copies meet under hundreds of keys: one of the keys with the same
+    # members (told by their number and 128 bits) stands for all of them.
+    groups = groups.groupBy("size", "m1", "m2").agg(F.min("key").alias("key")).select(
+        "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+    )
     rows = placed.join(groups, "key").join(classes.select("f1", "n", "sketch"), "f1")
     # A group of several blocks is dealt out as all pairs of its blocks.
     rows = rows.withColumn("own", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).withColumn(
@@ -483,17 +490,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that share an id are told apart by their sets: each goes or stays
     with its own group, and one of several in the same group stays.  Documents
     without an id stay."""
-    found = grouped(docs, id_col, text_col).where("id is not null").withColumn("gone", F.col("component_id") != F.col("id"))
+    columns = docs.columns  # packed, so that no name of theirs clashes
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*map(F.col, columns)).alias("row"))
+    found = grouped(docs, "id", "text").where("id is not null").withColumn("gone", F.col("component_id") != F.col("id"))
     special = found.groupBy(F.col("id").alias("__id")).agg(F.min("gone").alias("__gone"), F.count("*").alias("__rows"))
     special = stored(special.where("__gone or __rows > 1"))
     shared = special.where("__rows > 1 and not __gone").select(F.col("__id").alias("id"))
     chosen = stored(found.where("not gone").join(shared, "id", "left_semi").groupBy("id", "component").agg(F.min("f1").alias("f1")))
-    flagged = marked(docs, special.select("__id"), id_col)
-    hit = flagged.where("__hit").join(special, F.col(id_col) == F.col("__id"), "left").where("coalesce(not __gone, true)")
-    once = hit.where("coalesce(__rows, 1) = 1").select(*docs.columns)
-    several = hit.where("__rows > 1").select(*docs.columns, _set_code(text_col).alias("__f1"))
+    flagged = marked(docs.select("id", "text", "row"), special.select("__id"))
+    hit = flagged.where("__hit").join(special, F.col("id") == F.col("__id"), "left").where("coalesce(not __gone, true)")
+    once = hit.where("coalesce(__rows, 1) = 1").select("row")
+    several = hit.where("__rows > 1").select("id", "row", _set_code("text").alias("__f1"))
     several = several.join(
         chosen.select(F.col("id").alias("__id"), F.col("f1").alias("__kept")),
-        (F.col(id_col) == F.col("__id")) & (F.col("__f1") == F.col("__kept")), "left_semi",
-    ).dropDuplicates([id_col, "__f1"]).select(*docs.columns)
-    return flagged.where("not __hit").select(*docs.columns).unionByName(once).unionByName(several)
+        (F.col("id") == F.col("__id")) & (F.col("__f1") == F.col("__kept")), "left_semi",
+    ).dropDuplicates(["id", "__f1"]).select("row")
+    return flagged.where("not __hit").select("row").unionByName(once).unionByName(several).select("row.*")
