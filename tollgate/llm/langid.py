@@ -63,7 +63,8 @@ def fit(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key_col).alias("h")
     )
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(max_docs) / F.count("*")).alias("share"))
-    sample = rows.join(shares, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    # One row a language is broadcast, so no text moves before the sample is taken.
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("item", pa.string()), ("c", pa.int64())])
 
     def run(batches):
