@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tollgate.llm import ngram_join, pii, quality_rules
+from tollgate.llm import mixing, ngram_join, pii, quality_rules, warc
 from tollgate.llm.common import prepare
 
 
@@ -86,3 +86,34 @@ def test_quantiles_equal_percentile(spark):
     for k in "abc":
         x = [v for key, v in rows if key == k]
         assert got[k][0] == len(x) and np.allclose(got[k][1], np.percentile(x, [0.2, 50, 99.8]), rtol=0, atol=1e-12)
+
+
+def test_columns_of_any_name_stay(spark):
+    prepare(spark)
+    schema = ("id string, epochs int, __mark string, __id int, __hit int, key int, f1 int, row string, doc_id long, text string, "
+              "source string, mark string, p int, __p int, component int")
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("x", 1, "m", 2, 3, 4, 5, "r", i, text if i < 3 else f"{text} {i}" if i < 5 else f"{i} other words here {i}", "s", "k", 6, 7, 8)
+            for i in range(8)] + [("x", 1, "m", 2, 3, 4, 5, "r", None, None, None, "k", 6, 7, 8)]
+    docs = spark.createDataFrame(rows, schema)
+    once = ngram_join.deduplicated(docs)
+    assert once.columns == docs.columns
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in once.collect()) == [-1, 0, 5, 6, 7]
+    assert all(tuple(r) in rows for r in once.collect())
+    mix = mixing.mixed(docs, max_repeats=1.5)
+    assert mix.columns == docs.columns and set(map(tuple, mix.collect())) == set(rows)
+
+
+def test_responses_that_repeat_an_id(spark):
+    prepare(spark)
+    schema = f"record_id long, kind string, uri string, ts long, status int, headers {warc.HEADERS}, payload string, body string, ref_id int"
+    tag = lambda x: [("ETag", f'"{x}"')]
+    u, v = "http://e.org/p", "http://e.org/q"
+    rows = [(1, "response", u, 10, 200, tag("a"), "old", "", 0), (1, "response", u, 20, 200, tag("b"), "new", "", 0),
+            (1, "response", v, 20, 200, tag("b"), "other page", "", 0), (1, "response", u, 20, 200, tag("b"), "newer", "", 0),
+            (2, "revisit", u, 30, 304, tag("b"), None, "", 0), (3, "revisit", u, 30, 304, tag("a"), None, "", 0),
+            (4, "revisit", u, 20, 304, tag("a"), None, "", 0), (5, "response", v, 25, 200, tag("c"), "c", "", 0),
+            (6, "response", v, 25, 200, tag("d"), "d", "", 0), (7, "revisit", v, 26, 304, tag("d"), None, "", 0)]
+    for parts in (1, 5):
+        got = {r["record_id"]: (r["outcome"], r["payload"]) for r in warc.resolve(spark.createDataFrame(rows, schema).repartition(parts)).collect()}
+        assert got == {2: ("resolved", "new"), 3: ("validator_mismatch", None), 4: ("resolved", "old"), 7: ("resolved", "d")}

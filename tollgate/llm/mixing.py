@@ -22,7 +22,7 @@ DataFrame functions are used."""
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 BLOCK = 1000
 ROUNDS, CUTS = 4, 64  # 24 halvings
@@ -119,8 +119,9 @@ def schedule(
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` with each row as often as the mix uses it, in all its columns."""
     text = how.get("text_col", "text")
-    uses = schedule(docs, id_col, **how).groupBy("mark").agg(F.countDistinct("epoch").alias("epochs"))
+    own, epochs, use = (fresh(docs.columns, n) for n in ("mark", "epochs", "use"))
+    uses = schedule(docs, id_col, **how).groupBy(F.col("mark").alias(own)).agg(F.countDistinct("epoch").alias(epochs))
     # Rows that share an id share its mark, and with it the epochs.
     mark = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    rows = docs.withColumn("__mark", mark).join(uses.withColumnRenamed("mark", "__mark"), "__mark")
-    return rows.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*docs.columns)
+    rows = docs.withColumn(own, mark).join(uses, own)
+    return rows.withColumn(use, F.explode(F.sequence(F.lit(1), F.col(epochs).cast("int")))).select(*docs.columns)

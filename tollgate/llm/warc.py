@@ -18,7 +18,8 @@ headers (array of name, value; any order, names in any case), payload.
 as the latest.  Outcomes: resolved, validator_mismatch, no_validator,
 no_earlier_response, and unplaced for a null uri or ts.  Null headers are
 none.  Repeated revisit rows each give a row; of responses that repeat an id
-one is used.  Empty tables give empty results; other columns are ignored."""
+the one that the as-of join chose gives validators, headers and body (of those
+that agree in URL, time and validators, too, the smallest headers and body).  Empty tables give empty results; other columns are ignored."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def resolve(records: DataFrame) -> DataFrame:
         rows.where(fine).repartitionByRange("url", "ts", "full", "record_id").withColumn("part", F.spark_partition_id())
     )
     response = F.when(F.col("full"), F.struct("ts", "record_id", "etag", "modified"))
-    before = Window.partitionBy("part", "url").orderBy("ts", "full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("part", "url").orderBy("ts", "full", "record_id", "etag", "modified").rowsBetween(Window.unboundedPreceding, -1)
     near = dealt.withColumn("near", F.last(response, ignorenulls=True).over(before)).where(~F.col("full"))
     ends = dealt.groupBy("url", "part").agg(F.max(response).alias("end"))
     prior = Window.partitionBy("url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,17 +97,25 @@ def resolve(records: DataFrame) -> DataFrame:
         agree, "resolved"
     ).otherwise("validator_mismatch")
     judged = found.select(
-        "record_id", "url", "headers", F.col("ref.record_id").alias("ref_id"), outcome.alias("outcome")
+        "record_id", "url", "headers", F.col("ref.record_id").alias("ref_id"), outcome.alias("outcome"), "ref"
     ).unionByName(
         rows.where(~fine & ~F.col("full")).select(
             "record_id", "url", "headers", F.lit(None).cast(rows.schema["record_id"].dataType).alias("ref_id"),
-            F.lit("unplaced").alias("outcome"),
+            F.lit("unplaced").alias("outcome"), F.lit(None).cast(found.schema["ref"].dataType).alias("ref"),
         )
     )
-    bodies = records.where(full).dropDuplicates(["record_id"]).select(
-        F.col("record_id").alias("body_of"), headers.alias("stored"), "payload"
+    # Of responses that repeat an id the one whose validators were compared
+    # gives headers and body; of those that repeat these, too, the smallest.
+    response = F.struct(F.col("ts").cast("long").alias("ts"), "record_id", field(headers, "etag").alias("etag"),
+                        field(headers, "last-modified").alias("modified"))
+    bodies = records.where(full).select(
+        canonical_url(F.col("uri")).alias("at"), response.alias("r"), headers.alias("stored"), "payload"
+    ).groupBy("at", "r").agg(F.min(F.struct("stored", "payload")).alias("own")).select(
+        "at", F.col("r.record_id").alias("body_of"), "r", "own.stored", "own.payload"
+    )
+    joined = judged.where("outcome = 'resolved'").join(
+        bodies, (F.col("ref_id") == F.col("body_of")) & (F.col("url") == F.col("at")) & F.col("ref").eqNullSafe(F.col("r"))
     )
-    joined = judged.where("outcome = 'resolved'").join(bodies, F.col("ref_id") == F.col("body_of"))
     done = joined.select(
         "record_id", "url", "ref_id", "outcome", merged_headers(F.col("stored"), F.col("headers")).alias("headers"), "payload"
     )
