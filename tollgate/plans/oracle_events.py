@@ -58,8 +58,8 @@ ev_fr AS (
 ev_dec AS (
   SELECT substring(sha256(concat_ws('|', 'decision', CAST(decision_id AS VARCHAR), kind)), 1, 12) AS id,
          ts, kind, app, host, name,
-         CASE WHEN kind = 'approved' THEN 'Approved: ' ELSE 'Denied: ' END
-           || CASE WHEN name <> '' THEN name ELSE app END || '.' AS what,
+         CASE WHEN kind = 'approved' THEN 'Access granted to ' ELSE 'Access refused to ' END
+           || CASE WHEN name <> '' THEN name ELSE app END AS what,
          CASE WHEN kind = 'approved' THEN 'Decision recorded: approve.' ELSE 'Decision recorded: deny.' END AS why,
          CASE WHEN kind = 'approved' THEN 'It applies from its own time on.'
               ELSE 'It applies from its own time on, until changed.' END AS action,
