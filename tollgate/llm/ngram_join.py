@@ -360,6 +360,17 @@ def allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.where(_sketches_allow("n_a", "sketch_a", "n_b", "sketch_b")).select("a", "b")
 
 
+def one_key_each(live: DataFrame) -> DataFrame:
+    """(key, set) of one key for each list of members.  Near copies meet under
+    hundreds of keys; lists are told apart by their length and 128 bits."""
+    lists = live.groupBy("key").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("set")).alias("m1"),
+        F.bit_xor(F.xxhash64(F.lit("again"), "set")).alias("m2"),
+    )
+    keys = lists.groupBy("size", "m1", "m2").agg(F.min("key").alias("key")).select("key")
+    return stored(live.select("key", "set").join(keys, "key", "left_semi"))
+
+
 def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame, closest: bool) -> DataFrame:
     """Pairs (a, b) that share a segment, lie in different components and
     whose sizes and sketches allow a link: all of them, or each set's closest
@@ -368,14 +379,8 @@ def between_components(live: DataFrame, parts: DataFrame, classes: DataFrame, cl
         parts.select(F.col("node").alias("f1"), "component"), "f1", "left"
     ).withColumn("component", F.coalesce("component", "f1"))
     groups = placed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"),
-        F.bit_xor(F.xxhash64("f1")).alias("m1"), F.bit_xor(F.xxhash64(F.lit("again"), "f1")).alias("m2"),
-    ).where("lo < hi")
-    # Near copies meet under hundreds of keys: one of the keys with the same
-    # members (told by their number and 128 bits) stands for all of them.
-    groups = groups.groupBy("size", "m1", "m2").agg(F.min("key").alias("key")).select(
-        "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    )
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")
+    ).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(groups, "key").join(classes.select("f1", "n", "sketch"), "f1")
     # A group of several blocks is dealt out as all pairs of its blocks.
     rows = rows.withColumn("own", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).withColumn(
@@ -455,6 +460,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = hubs.groupBy(F.col("set").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
     links = stored(verified(stored(allowed(first, classes)), classes, docs))
     parts = connected_components(links, "a", "b")
+    live = one_key_each(live)
     for turn in range(CLOSEST_ROUNDS + 1):
         more = stored(between_components(live, parts, classes, closest=turn < CLOSEST_ROUNDS))
         if not more.take(1):
