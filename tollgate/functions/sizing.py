@@ -10,22 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
+#: Session setting with the largest number of rows that is broadcast.
+MAX_ROWS_CONF = "tollgate.broadcast.maxRows"
 
 
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, bound: int | None = None
-) -> DataFrame:
-    """Return ``broadcast(df)`` if it has at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int | None = None, bound: int | None = None) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows (default: the session's
+    ``tollgate.broadcast.maxRows``, else 200,000).
 
     ``bound``: a proven upper bound on the row count (e.g. the size of the
     log it was derived from); when it is small enough no job runs.
-    Otherwise the check reads at most ``max_rows + 1`` rows, so it is cheap
-    even when the side turns out to be large.
+    Otherwise the plan of ``df`` runs up to the first ``max_rows + 1`` rows,
+    in full where an aggregation stands before them.
     """
+    if max_rows is None:
+        max_rows = int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_BROADCAST_ROWS)))
     if bound is not None and bound <= max_rows:
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+        return True
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None, bound: int | None = None) -> DataFrame:
+    """``broadcast(df)`` if it ``is_small``, else ``df``."""
+    return F.broadcast(df) if is_small(df, max_rows, bound) else df
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

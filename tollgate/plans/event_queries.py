@@ -11,10 +11,10 @@ from ..operators.alerts import alert_islands, recent_activity as _recent
 from ..operators.cooldown import alert_cooldown as _alert_cooldown
 from ..operators.events import build_events as _build_events
 from ..operators.events import iso_timestamp
-from ..operators.frames import frame_events, scan_frames
+from ..operators.frames import frame_events
 from ..sources import fixtures as fx
 from .policy import policy_verdicts
-from .traffic_queries import TS_FMT, custom_catalogue
+from .traffic_queries import TS_FMT, frames_as_of
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,7 @@ def verdict_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = fx.decisions(spark, sf_dir)
     verdicts = verdict_table(spark, sf_dir)
-    frames = frame_events(scan_frames(spark, fx.frames(spark, sf_dir), custom=custom_catalogue(spark, sf_dir)))
-    return _build_events(verdicts, decisions, frames)
+    return _build_events(verdicts, decisions, frame_events(frames_as_of(spark, sf_dir)))
 
 
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def _messages(rule: str, cols: dict[str, str]) -> list[str]:
     return out
 
 
-def events_ctes(sources: tuple[str, ...] = ("request", "frame", "decision")) -> str:
+def events_ctes(sources: tuple[str, ...] = ("request", "frame", "decision"), as_of: bool = True) -> str:
     """WITH-list ending in CTE ``evs`` (the J14 event table)."""
     req_cols = {"a": "app_name", "h": "host", "n": "subject", "m": "substring(model, 1, 60)", "l": "labels"}
     what, why, action = _messages("rule", req_cols)
@@ -36,7 +36,7 @@ def events_ctes(sources: tuple[str, ...] = ("request", "frame", "decision")) ->
     fwhat, fwhy, faction = _messages("'FRAME'", fr_cols)
     return policy_core() + f""",
 {_custom_snapshot()},
-{frames_ctes()},
+{frames_ctes(as_of)},
 pev AS (SELECT *, {EVENT_SUBJECT} AS subject FROM fin2 WHERE event_kind IS NOT NULL),
 ev_req AS (
   SELECT substring(sha256(concat_ws('|', 'request', CAST(request_id AS VARCHAR), event_kind)), 1, 12) AS id,
@@ -54,7 +54,7 @@ ev_fr AS (
          {fwhat} AS what, {fwhy} AS why, {faction} AS action,
          FALSE AS requires_decision, '' AS model, fx_labels AS redacted_fields,
          'frame' AS source, CAST(frame_id AS BIGINT) AS source_id
-  FROM (SELECT *, 'app_' || CAST(conv_id AS VARCHAR) AS app_name FROM fx_end) WHERE fx_n > 0),
+  FROM fx_end WHERE fx_n > 0),
 ev_dec AS (
   SELECT substring(sha256(concat_ws('|', 'decision', CAST(decision_id AS VARCHAR), kind)), 1, 12) AS id,
          ts, kind, app, host, name,
@@ -117,8 +117,8 @@ FROM top t LEFT JOIN dim d ON d.kind = t.kind
 """
 
 
-def cooldown_sql(sources: tuple[str, ...] = ("request", "frame", "decision")) -> str:
-    return "WITH RECURSIVE " + events_ctes(sources).lstrip().removeprefix("WITH").lstrip() + """,
+def cooldown_sql(sources: tuple[str, ...] = ("request", "frame", "decision"), as_of: bool = True) -> str:
+    return "WITH RECURSIVE " + events_ctes(sources, as_of).lstrip().removeprefix("WITH").lstrip() + """,
 seq AS (
   SELECT id, kind, app_name, source, source_id, epoch_us(ts) AS t, requires_decision AS rd,
          row_number() OVER (PARTITION BY kind, app_name ORDER BY ts, source, source_id) AS rn
@@ -158,7 +158,7 @@ RESPONSES = _responses_sql()
 def oracle_sql() -> dict:
     return {
         "alert_cooldown": ALERT_COOLDOWN,
-        "stream_events": ALERT_COOLDOWN,
+        "stream_events": cooldown_sql(as_of=False),  # frames of a stream: see README
         "policy_responses": RESPONSES,
         "build_events": BUILD_EVENTS,
         "alert_intervals": ALERT_INTERVALS,

@@ -16,7 +16,7 @@ from ..functions.constants import (
     DEFAULT_PROXY_PORT,
     UNKNOWN_APP,
 )
-from ..sources.fixtures import FIXTURE_HOSTS
+from ..sources.fixtures import EPOCH_US, FIXTURE_HOSTS
 from .oracle import (
     ai_path_sql,
     body_signals_sql,
@@ -293,36 +293,56 @@ FROM {end}
 REDACT_BODIES = _redact_bodies_sql()
 
 
-def frames_ctes() -> str:
-    """CTEs (needs decisions, cat, ep, custom) ending in ``fx_end``: one row
-    per outbound frame to a known host with labels (fx_labels)."""
+def frames_ctes(as_of: bool = True) -> str:
+    """CTEs ending in ``fx_end``: one row per outbound frame to a known host
+    with app_name and labels (fx_labels).  ``as_of``: hosts known at the frame's
+    time and the port's owner (needs decisions, connections, cat, kt); else the
+    catalogue after the log and the logged application (needs cat, custom)."""
     hosts = "[" + ", ".join(q(h) for h, _ in FIXTURE_HOSTS) + "]"
     ctes, end, p = redaction_chain(
-        "SELECT frame_id, conv_id, host, provider_name, CASE WHEN json_valid(text) THEN NULL ELSE text END AS t "
+        "SELECT frame_id, conv_id, host, app_name, provider_name, CASE WHEN json_valid(text) THEN NULL ELSE text END AS t "
         "FROM fknown2", "t", prefix="fx",
     )
+    name = """coalesce(CASE WHEN brank = 1 THEN bname WHEN x_name IS NOT NULL THEN x_name WHEN brank = 3 THEN bname
+                  WHEN b_name IS NOT NULL THEN b_name WHEN brank = 5 THEN bname END, host)"""
+    if as_of:
+        # The entry's name at the frame's time, null while the key is unknown.
+        def at(key: str) -> str:
+            return (f"(SELECT coalesce((SELECT arg_max(d.display_name, {{'ts': d.ts, 'id': d.decision_id}}) FROM decisions d "
+                    f"WHERE d.target = 'endpoint' AND d.verdict = 'approve' AND lower(d.key) = k.key AND d.ts <= l.ts), k.name) "
+                    f"FROM kt k WHERE k.key = l.{key} AND k.first.ts <= l.ts)")
+
+        named = f"fnamed AS (SELECT l.*, {at('c')} AS x_name, {at('b')} AS b_name FROM flk l)"
+        owned = f"""fknown2 AS (
+  SELECT f.*, CASE WHEN c.observed_at IS NOT NULL AND epoch_us(f.ts) - epoch_us(c.observed_at) < 2000000
+                   THEN c.process ELSE {q(UNKNOWN_APP)} END AS app_name
+  FROM fknown f ASOF LEFT JOIN connections c ON f.src_port = c.port AND f.ts >= c.observed_at)"""
+    else:
+        named = """fnamed AS (
+  SELECT l.*, cx.name AS x_name, cb.name AS b_name
+  FROM flk l LEFT JOIN custom cx ON cx.host = l.c LEFT JOIN custom cb ON cb.host = l.b)"""
+        owned = "fknown2 AS (SELECT *, 'app_' || CAST(conv_id AS VARCHAR) AS app_name FROM fknown)"
     return f"""
 fr AS (
-  SELECT conv_id * 1000 + turn AS frame_id, conv_id, turn, {hosts}[conv_id % {len(FIXTURE_HOSTS)} + 1] AS host, text
+  SELECT conv_id * 1000 + turn AS frame_id, conv_id, turn, {hosts}[conv_id % {len(FIXTURE_HOSTS)} + 1] AS host, text,
+         make_timestamp({EPOCH_US} + conv_id * 1000000 + turn * 10000) AS ts, CAST(20000 + conv_id % 40000 AS INTEGER) AS src_port
   FROM conversations WHERE role = 'user' AND coalesce(text, '') <> ''),
-{_lookup("SELECT frame_id, conv_id, host, text FROM fr", "flk")},
+{_lookup("SELECT frame_id, conv_id, ts, src_port, host, text FROM fr", "flk")},
+{named},
 fknown AS (
-  SELECT l.frame_id, l.conv_id, l.host, l.text,
-         coalesce(CASE WHEN l.brank = 1 THEN l.bname WHEN cx.host IS NOT NULL THEN cx.name WHEN l.brank = 3 THEN l.bname
-                       WHEN cb.host IS NOT NULL THEN cb.name WHEN l.brank = 5 THEN l.bname END, l.host) AS provider_name,
-         (l.brank IS NOT NULL OR cx.host IS NOT NULL OR cb.host IS NOT NULL) AS is_known
-  FROM flk l LEFT JOIN custom cx ON cx.host = l.c LEFT JOIN custom cb ON cb.host = l.b),
-fknown2 AS (SELECT * FROM fknown WHERE is_known),
+  SELECT frame_id, conv_id, ts, src_port, host, text, {name} AS provider_name
+  FROM fnamed WHERE brank IS NOT NULL OR x_name IS NOT NULL OR b_name IS NOT NULL),
+{owned},
 {ctes}"""
 
 
 def _frames_sql() -> str:
     return f"""
-WITH decisions AS ({decisions_cte()}),
-cat AS ({catalogue_values()}),
-{_custom_snapshot()},
+WITH {_base_ctes()},
+{_lookup("SELECT request_id, ts, host, path, CASE WHEN dst_port IS NULL OR dst_port = 0 THEN 443 ELSE dst_port END AS dst_port FROM requests", "lk")},
+{_known_ctes("lk")},
 {frames_ctes()}
-SELECT frame_id, host, provider_name, fx_labels AS labels, fx_n > 0 AS rewritten FROM fx_end
+SELECT frame_id, host, app_name, provider_name, fx_labels AS labels, fx_n > 0 AS rewritten FROM fx_end
 """
 
 

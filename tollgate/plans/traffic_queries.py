@@ -131,12 +131,19 @@ def redact_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frames_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J13 with hosts known as of the frame's time and the port's owner."""
+    from ..operators.frames import scan_frames as _scan
+
+    decisions = fx.decisions(spark, sf_dir)
+    known = first_seen(_with_builtin_rank(spark, fx.requests(spark, sf_dir)), decisions)
+    return _scan(spark, fx.frames(spark, sf_dir), decisions=decisions, known=known, connections=fx.connections(spark, sf_dir))
+
+
 def scan_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J13 (see operators.frames)."""
-    from ..operators.frames import scan_frames as _scan
-    f = _scan(spark, fx.frames(spark, sf_dir), custom=custom_catalogue(spark, sf_dir))
-    return f.select(
-        "frame_id", "host", "provider_name", F.concat_ws(", ", "labels").alias("labels"),
+    return frames_as_of(spark, sf_dir).select(
+        "frame_id", "host", "app_name", "provider_name", F.concat_ws(", ", "labels").alias("labels"),
         F.col("new_content").isNotNull().alias("rewritten"),
     )
 
