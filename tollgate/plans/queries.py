@@ -139,10 +139,10 @@ def read_request_log_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.readers import log_lines
 
     i, path = F.col("request_id"), fx.stored_path(spark, sf_dir, f"lines-{uuid.uuid4().hex[:8]}")
-    rows = fx.requests(spark, sf_dir).select(*log_columns("requests"))
+    rows = fx.request_stream(spark, sf_dir).select(*log_columns("requests"))
     when = F.when(i % 101 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     line = F.to_json(F.struct(*(when.alias(c) if c == "ts" else F.col(c) for c in rows.columns)))
-    rows.select(F.when(i % 97 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+    rows.select(F.when(i % 97 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path, compression="gzip")
     lines = log_lines(spark, "requests", path)
     good = F.col("broken_line").isNull()
     return lines.select(
