@@ -115,3 +115,19 @@ def test_columns_of_any_name_ties_and_nulls(spark):
     assert quality_lm.accepted(docs.limit(0), labels).count() == 0
     untrained = quality_lm.accepted(docs, labels.limit(0))
     assert untrained.count() == 121 and untrained.columns == docs.columns
+
+
+def test_counts_and_thresholds_come_from_all_trusted_rows(spark, monkeypatch):
+    n = 2_300
+    docs = spark.createDataFrame([(i, f"some good words {i}", "en") for i in range(n)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    seen, real = [], quality_lm.trusted_sample
+    monkeypatch.setattr(quality_lm, "trusted_sample", lambda *a: seen.append(real(*a)) or seen[-1])
+    quality_lm.judged(docs, labels, ("perplexity", "threshold", "kept"))
+    assert {r.lang: r["count"] for r in seen[0].groupBy("lang").count().collect()} == {"en": n, quality_lm.ALL: n}
+    # A task's bounded counters and the shuffled form give the same counts.
+    whole = {(r.lang, r.gram, r.c) for r in quality_lm.word_counts(seen[0]).collect()}
+    monkeypatch.setattr(quality_lm, "HELD_WORDS", 50)
+    monkeypatch.setattr(quality_lm, "BROADCAST_IDS", 10)
+    again = real(docs, labels, "doc_id")
+    assert {(r.lang, r.gram, r.c) for r in quality_lm.word_counts(again).collect()} == whole
