@@ -1,7 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tollgate.llm import mixing, ngram_join, pii, quality_rules, warc
 from tollgate.llm.common import prepare
@@ -117,3 +120,28 @@ def test_responses_that_repeat_an_id(spark):
     for parts in (1, 5):
         got = {r["record_id"]: (r["outcome"], r["payload"]) for r in warc.resolve(spark.createDataFrame(rows, schema).repartition(parts)).collect()}
         assert got == {2: ("resolved", "new"), 3: ("validator_mismatch", None), 4: ("resolved", "old"), 7: ("resolved", "d")}
+
+
+def test_bodies_are_shuffled_once(spark):
+    prepare(spark)
+    columns = "record_id long, kind string, uri string, ts long, status int, headers array<struct<name:string,value:string>>, payload string"
+    tag, date = [("ETag", "a")], [("Last-Modified", "d")]
+    rows = [
+        (1, "response", "http://a/", 10, 200, tag, "one"),
+        (2, "revisit", "http://a/", 20, 304, tag, None),
+        (3, "response", "http://b/", 10, 200, date, "two"),  # a reference without an entity tag
+        (4, "revisit", "http://b/", 20, 304, date, None),
+        (None, "response", "http://c/", 10, 200, tag, "three"),
+        (6, "revisit", "http://c/", 20, 304, tag, None),
+    ]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        records = spark.createDataFrame(rows, columns).withColumn("ts", F.coalesce("ts", F.lit(0)))  # never null
+        out = warc.resolve(records)
+        assert sorted((r["record_id"], r["payload"]) for r in out.collect()) == [(2, "one"), (4, "two")]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    shuffles = re.findall(r"Exchange hashpartitioning\(\w*", plan.split("Initial Plan")[0])
+    assert [s for s in shuffles if s.endswith(("(at", "(body_of", "(ref_id", "(cast"))] == ["Exchange hashpartitioning(at"]

@@ -109,12 +109,13 @@ def resolve(records: DataFrame) -> DataFrame:
     response = F.struct(F.col("ts").cast("long").alias("ts"), "record_id", field(headers, "etag").alias("etag"),
                         field(headers, "last-modified").alias("modified"))
     bodies = records.where(full).select(
-        canonical_url(F.col("uri")).alias("at"), response.alias("r"), headers.alias("stored"), "payload"
-    ).groupBy("at", "r").agg(F.min(F.struct("stored", "payload")).alias("own")).select(
-        "at", F.col("r.record_id").alias("body_of"), "r", "own.stored", "own.payload"
-    )
-    joined = judged.where("outcome = 'resolved'").join(
-        bodies, (F.col("ref_id") == F.col("body_of")) & (F.col("url") == F.col("at")) & F.col("ref").eqNullSafe(F.col("r"))
+        canonical_url(F.col("uri")).alias("at"), response.cast(found.schema["ref"].dataType).alias("r"), headers.alias("stored"), "payload"
+    ).groupBy("at", "r").agg(F.min(F.struct("stored", "payload")).alias("own")).select("at", "r", "own.stored", "own.payload")
+    # The join's keys are the grouping's, of one type (also in what may be
+    # null), so bodies are shuffled once; "=" holds for structs whose equal
+    # fields are null.
+    joined = judged.where("outcome = 'resolved' and ref_id is not null").join(
+        bodies, (F.col("url") == F.col("at")) & (F.col("ref") == F.col("r"))
     )
     done = joined.select(
         "record_id", "url", "ref_id", "outcome", merged_headers(F.col("stored"), F.col("headers")).alias("headers"), "payload"
