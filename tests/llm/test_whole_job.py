@@ -145,3 +145,31 @@ def test_bodies_are_shuffled_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     shuffles = re.findall(r"Exchange hashpartitioning\(\w*", plan.split("Initial Plan")[0])
     assert [s for s in shuffles if s.endswith(("(at", "(body_of", "(ref_id", "(cast"))] == ["Exchange hashpartitioning(at"]
+
+
+def test_rows_between_components_do_not_grow_with_pairs(spark):
+    prepare(spark)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base, f"x{k}"]) for k in range(40)]
+    codes = [ngram_join.element_codes(t) for t in texts]
+    f = [ngram_join.fingerprint(c) for c in codes]
+    classes = spark.createDataFrame(
+        [(i, x, len(c), bytearray(ngram_join.parity_sketch(c))) for i, (x, c) in enumerate(zip(f, codes))],
+        "rep long, f1 long, n long, sketch binary",
+    )
+    live = spark.createDataFrame([(7, x) for x in f], "key long, set long")
+    parts = spark.createDataFrame([(x, min(f[:20])) for x in f[:20]], "node long, component long")
+    none = spark.createDataFrame([], "a long, b long")
+    rows = ngram_join.between_components(live, parts, classes, none, 1).collect()
+    assert 0 < len(rows) <= 21  # of 21 components, 590 pairs of sets
+    assert {c for r in rows for c in (r.ca, r.cb)} - {None} == {min(f[:20]), *f[20:]}
+    seen = set()
+    while True:  # without what was rejected all pairs come in turn, each once
+        gone = spark.createDataFrame(sorted(seen), "a long, b long")
+        more = {(r.a, r.b) for r in ngram_join.between_components(live, parts, classes, gone, 200).collect()}
+        if not more:
+            break
+        assert not more & seen
+        seen |= more
+    apart = {tuple(sorted((x, y))) for i, x in enumerate(f) for j, y in enumerate(f) if i < j and j >= 20}
+    assert seen == apart
