@@ -3,8 +3,10 @@ and repetition of words, and odd columns."""
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tollgate.llm import quality_lm
@@ -131,3 +133,30 @@ def test_counts_and_thresholds_come_from_all_trusted_rows(spark, monkeypatch):
     monkeypatch.setattr(quality_lm, "BROADCAST_IDS", 10)
     again = real(docs, labels, "doc_id")
     assert {(r.lang, r.gram, r.c) for r in quality_lm.word_counts(again).collect()} == whole
+
+
+def test_new_words_cost_no_python_per_character(monkeypatch):
+    rnd = random.Random(6)
+    texts = [["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzäЖ\0𝄞", k=8)) for _ in range(20)] for _ in range(1_000)]
+    plain = Plain([" ".join(x) for x in texts])
+    grams = {g: (math.log10(p), None) for g, p in plain.p.items()}
+    for g, w in plain.weight.items():
+        grams[g] = grams.get(g, (None, None))[0], math.log10(w)
+    rows = pa.table({"lang": ["en"] * len(grams), "gram": list(grams), "logp": [x[0] for x in grams.values()], "backoff": [x[1] for x in grams.values()]})
+    other = [["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzäЖ\0𝄞q", k=9)) for _ in range(20)] for _ in range(1_000)]
+    start = time.process_time()
+    want = [plain.logp(" ".join(x)) for x in other]
+    by_character = time.process_time() - start
+    shard = quality_lm.Shard(rows, 0, 1)
+    start = time.process_time()
+    got = shard.parts("en", other)
+    assert time.process_time() - start < by_character / 3
+    assert got == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(quality_lm, "STEP_CHARS", 1000)  # grams across the steps' ends
+    assert shard.parts("en", other) == pytest.approx(want, rel=1e-9)
+    few = texts[:50]
+    seen = Counter()
+    for x in few:
+        s = f" {' '.join(x)} "
+        seen.update(s[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(s)))
+    assert quality_lm.gram_counts([*few, []]) == seen

@@ -16,6 +16,8 @@ joined with the documents shard by shard: each pass holds one broadcast shard
 of at most about ``SHARD_ROWS`` rows and adds its part of every document's log
 probability.  Counts and thresholds come from all trusted rows; the number of
 shards grows with their distinct n-grams.
+Texts are counted and scored as arrays of characters, with 64-bit codes for
+the four-character grams (about n^2 / 2^65 chance collisions).
 
 Perplexity is per character.  A fifth of the trusted rows is held out of the
 counts; a document is rejected above the language's upper quantile of the
@@ -41,17 +43,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import built, fresh, pieces, share, stored, trim, trimmed
+from .ngram_join import mix
 
 ORDER = 4
 END = " "
 SHARD_ROWS = 1_000_000
-HELD_WORDS = 200_000  # distinct words and junctions of a language that a task holds
+HELD_WORDS = 200_000  # distinct grams of a language that a task holds
+STEP_CHARS = 1 << 17  # bounds the arrays of one step
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 BROADCAST_IDS = 200_000
 PRIOR = 200.0
 EVEN_PRIOR = 40.0
@@ -60,38 +66,53 @@ LEAST_HELD = 20
 ALL = "*"  # the language of the common model
 
 
-def spelled(word: str) -> str:
-    return END + word + END
+def streams(texts: list[list[str]]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The streams of the texts' words in a row: characters, their code points,
+    each one's text and its place there.  A text without words has none."""
+    one = "".join(END + END.join(words) + END if words else "" for words in texts)
+    n = np.fromiter((sum(map(len, words)) + len(words) + 1 if words else 0 for words in texts), np.int64, len(texts))
+    points = np.frombuffer(one.encode("utf-32-le"), np.uint32)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(n) - n, n)
+    return one, points, np.repeat(np.arange(len(texts), dtype=np.int32), n), place.astype(np.int32)
 
 
-class Words(dict):
-    """What a word's spelling gives, once per word: its last two characters as
-    the next word's context, its first two (an end mark included) and the word."""
-
-    def __missing__(self, word: str) -> tuple[str, str, str]:
-        s = spelled(word)
-        self[word] = s[:-1][2 - ORDER :], s[1 : ORDER - 1], word
-        return self[word]
+def gram_keys(points: np.ndarray) -> list[np.ndarray]:
+    """Keys of the grams of 1 .. ``ORDER`` characters that end at each place
+    (those that reach back before the first are void).  Up to three characters
+    have keys of their own, longer grams a 64-bit code."""
+    c = points.astype(np.uint64)
+    keys, packed = [], c
+    for k in range(1, ORDER + 1):
+        if k > 1:
+            back = np.zeros(len(c), np.uint64)
+            back[k - 1 :] = c[: len(c) - k + 1]
+            if k <= 3:
+                packed = packed | back << np.uint64(21 * (k - 1))
+        keys.append(mix(packed) if k <= 3 else keys[-1] + (back + np.uint64(1)) * _ODD)
+    return keys
 
 
-def junctions(words: list[str], of: Words) -> list[str]:
-    """For each word the stretch of the stream in which grams cross its start:
-    the end of the word before, a space and the word's first two characters.
-    The first word has nothing before its space."""
-    known = list(map(of.__getitem__, words))
-    return [f"{tail}{END}{head}" for tail, head in zip(["", *(k[0] for k in known[:-1])], (k[1] for k in known))]
+def ranges(n: int) -> Iterator[tuple[int, int, int]]:
+    """(from, lo, hi) of steps over n places: lo .. hi with what their grams
+    reach back to."""
+    for lo in range(0, n, STEP_CHARS):
+        yield max(0, lo - ORDER + 1), lo, min(n, lo + STEP_CHARS)
 
 
-def counted(words: Counter, crossings: Counter) -> Counter:
+def gram_counts(texts: list[list[str]]) -> Counter:
     """Counts of grams of the full order (shorter ones at a text's start)."""
     grams: Counter = Counter()
-    for w, c in words.items():
-        s = spelled(w)
-        for i in range(ORDER - 1, len(s)):
-            grams[s[i - ORDER + 1 : i + 1]] += c
-    for s, c in crossings.items():
-        for i in range(len(s) - ORDER + 2, len(s)):
-            grams[s[max(0, i - ORDER + 1) : i + 1]] += c
+    one, points, _, place = streams(texts)
+    for at, lo, hi in ranges(len(points)):
+        full = np.flatnonzero(place[lo:hi] >= ORDER - 1) + lo
+        keys = gram_keys(points[at:hi])[-1][full - at]
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        for i, c in zip(full[order[first]].tolist(), np.diff(np.append(first, len(order))).tolist()):
+            grams[one[i - ORDER + 1 : i + 1]] += c
+    for start in np.flatnonzero(place == 0).tolist():
+        for k in range(2, ORDER):
+            grams[one[start : start + k]] += 1
     return grams
 
 
@@ -100,20 +121,20 @@ def word_counts(sample: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("c", pa.int64())])
 
     def run(batches):
-        counts: dict[str, tuple[Counter, Counter]] = {}
+        counts: dict[str, Counter] = {}
         for b in batches:
+            texts: dict[str, list[list[str]]] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                words, crossings = counts.setdefault(lang, (Counter(), Counter()))
-                own = text.split()
-                words.update(own)
-                crossings.update(junctions(own, Words()))
-                if len(words) + len(crossings) > HELD_WORDS:
-                    yield grams_of(lang, *counts.pop(lang))
-        for lang, both in counts.items():
-            yield grams_of(lang, *both)
-
-    def grams_of(lang: str, words: Counter, crossings: Counter) -> pa.RecordBatch:
-        grams = counted(words, crossings)
+                texts.setdefault(lang, []).append(text.split())
+            for lang, some in texts.items():
+                own = counts.setdefault(lang, Counter())
+                own.update(gram_counts(some))
+                if len(own) > HELD_WORDS:
+                    yield grams_of(lang, counts.pop(lang))
+        for lang, own in counts.items():
+            yield grams_of(lang, own)
+
+    def grams_of(lang: str, grams: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], schema=schema
         )
@@ -176,41 +197,88 @@ def shard_of(lang: str, last: str, n_shards: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{lang}\0{last}") % n_shards
 
 
+class Lookup:
+    """Values by 64-bit key, open-addressed, so that many are looked up at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << (2 * len(keys)).bit_length()
+        self.mask = np.uint64(size - 1)
+        self.keys, self.values = np.zeros(size, np.uint64), np.full(size, np.nan)
+        slot, left = keys & self.mask, np.arange(len(keys))
+        while len(left):
+            free = left[np.isnan(self.values[slot[left]])]
+            self.keys[slot[free]] = keys[free]  # one of those that meet stays
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.values[slot[won]] = values[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's value, NaN where it has none."""
+        slot = keys & self.mask
+        out = self.values[slot]
+        other = np.flatnonzero((self.keys[slot] != keys) & ~np.isnan(out))
+        while len(other):
+            slot[other] = now = (slot[other] + np.uint64(1)) & self.mask
+            out[other] = self.values[now]
+            other = other[(self.keys[now] != keys[other]) & ~np.isnan(out[other])]
+        return out
+
+
 class Shard:
-    """One shard of the table: log probabilities and backoffs by language."""
+    """One shard of the table: log probabilities and backoffs by language and
+    the gram's length."""
 
     def __init__(self, rows: pa.Table, number: int, n_shards: int):
         self.number, self.n_shards = number, n_shards
-        columns = [rows.column(x).to_pylist() for x in ("lang", "gram", "logp", "backoff")]
-        self.langs = set(columns[0])
-        self.logp: dict[str, dict[str, float]] = {x: {} for x in self.langs}
-        self.backoff: dict[str, dict[str, float]] = {x: {} for x in self.langs}
-        for lang, gram, logp, backoff in zip(*columns):
-            if logp is not None:
-                self.logp[lang][gram] = logp
-            if backoff is not None:
-                self.backoff[lang][gram] = backoff
-
-    def part(self, lang: str, s: str, first: int) -> float:
-        """The shard's part of the log10 probability of s[first:] after s[:first]."""
-        total = 0.0
-        logp, backoff = self.logp.get(lang, {}), self.backoff.get(lang, {})
-        for i in range(first, len(s)):
-            if self.n_shards > 1 and shard_of(lang, s[i - 1], self.n_shards) != self.number:
-                continue
-            at = max(0, i - ORDER + 1)
-            while True:
-                gram = s[at : i + 1]
-                found = logp.get(gram)
-                if found is not None:
-                    total += found
-                    break
-                if at == i:
-                    total += backoff.get("", 0.0) - 3.612  # 1 / 4096
-                    break
-                total += backoff.get(gram[:-1], 0.0)
-                at += 1
-        return total
+        self.mine: dict[str, np.ndarray] = {}  # by code point: 1 in this shard, 0 not, -1 unknown
+        self.langs = set(pc.unique(rows.column("lang")).to_pylist())
+        self.logp, self.backoff, self.least = {}, {}, {}
+        for lang in self.langs | {ALL}:
+            own = rows.filter(pc.equal(rows.column("lang"), lang))
+            size = pc.utf8_length(own.column("gram"))
+            for name, held in (("logp", self.logp), ("backoff", self.backoff)):
+                held[lang] = [
+                    self.lookup(own.filter(pc.and_(pc.equal(size, k), pc.is_valid(own.column(name)))), name, k)
+                    for k in range(1, ORDER + 1)
+                ]
+            root = own.filter(pc.equal(size, 0)).column("backoff").drop_null().to_pylist()
+            self.least[lang] = (root[0] if root else 0.0) - 3.612  # 1 / 4096
+
+    @staticmethod
+    def lookup(rows: pa.Table, name: str, k: int) -> Lookup:
+        points = np.frombuffer("".join(rows.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
+        return Lookup(gram_keys(points)[k - 1][k - 1 :: k], rows.column(name).to_numpy())
+
+    def of_shard(self, lang: str, points: np.ndarray) -> np.ndarray:
+        """Whether contexts that end in these characters are in this shard."""
+        mine = self.mine.setdefault(lang, np.full(0x110000, -1, np.int8))
+        for p in np.unique(points[mine[points] < 0]).tolist():
+            mine[p] = shard_of(lang, chr(p), self.n_shards) == self.number
+        return mine[points] == 1
+
+    def parts(self, lang: str, texts: list[list[str]]) -> np.ndarray:
+        """The shard's part of the log10 probability of each text's words."""
+        out = np.zeros(len(texts))
+        logp, backoff = self.logp[lang], self.backoff[lang]
+        _, points, of, place = streams(texts)
+        for at, lo, hi in ranges(len(points)):
+            keys = gram_keys(points[at:hi])
+            todo = np.flatnonzero(place[lo:hi] > 0) + lo
+            if self.n_shards > 1:
+                todo = todo[self.of_shard(lang, points[todo - 1])]
+            total = np.zeros(hi - lo)
+            for k in range(ORDER, 0, -1):
+                long = place[todo] >= k - 1
+                now, todo = todo[long], todo[~long]
+                found = logp[k - 1].get(keys[k - 1][now - at])
+                miss = np.isnan(found)
+                total[now[~miss] - lo] += found[~miss]
+                now = now[miss]
+                total[now - lo] += np.nan_to_num(backoff[k - 2].get(keys[k - 2][now - at - 1])) if k > 1 else self.least[lang]
+                todo = np.concatenate([todo, now])
+            out += np.bincount(of[lo:hi], total, len(texts))
+        return out
 
 
 def evenness(words: list[str]) -> float:
@@ -254,30 +322,19 @@ def _part_of(shared, number: int, n_shards: int):
     @F.pandas_udf(kind)
     def part(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         one = built(shared, lambda rows: Shard(rows, number, n_shards))
-        known: dict[str, tuple[dict, dict]] = {}
         for texts, langs in batches:
-            rows = []
-            for text, lang in zip(texts, langs):
-                lang = lang if lang in one.langs else ALL
-                if sum(len(a) + len(b) for a, b in known.values()) > 200_000:
-                    known.clear()
-                of, cross = known.setdefault(lang, ({}, {}))
-                words = text.split() if text else []
-                total, tail = 0.0, ""
-                for w in words:
-                    own = of.get(w)
-                    if own is None:
-                        s = spelled(w)
-                        own = of[w] = one.part(lang, s, ORDER - 1), s[:-1][2 - ORDER :], END + s[1 : ORDER - 1]
-                    key = tail + own[2]
-                    at = cross.get(key)
-                    if at is None:
-                        at = cross[key] = one.part(lang, key, len(key) - ORDER + 2)
-                    total += own[0] + at
-                    tail = own[1]
-                rows.append((total, sum(map(len, words)) + len(words), len(words), evenness(words) if number == 0 else 0.0))
-            yield pd.DataFrame(rows, columns=["logp", "chars", "words", "even"])
-        del known, one
+            words = [text.split() if text else [] for text in texts]
+            rows: dict[str, list[int]] = {}
+            for i, lang in enumerate(langs):
+                rows.setdefault(lang if lang in one.langs else ALL, []).append(i)
+            logp = np.zeros(len(words))
+            for lang, some in rows.items():
+                logp[some] = one.parts(lang, [words[i] for i in some])
+            yield pd.DataFrame({
+                "logp": logp, "chars": [sum(map(len, w)) + len(w) for w in words], "words": [len(w) for w in words],
+                "even": [evenness(w) if number == 0 else 0.0 for w in words],
+            })
+        del one
         trim()
 
     return part
