@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tollgate.llm import mixing, ngram_join, pii, quality_rules, warc
-from tollgate.llm.common import prepare
+from tollgate.llm.common import prepare, stored
 
 
 @pytest.mark.parametrize("before, after", ["()", '""', "[]", "''", "«»", "-,", ":.", "_ ", "\n "])
@@ -173,3 +174,33 @@ def test_rows_between_components_do_not_grow_with_pairs(spark):
         seen |= more
     apart = {tuple(sorted((x, y))) for i, x in enumerate(f) for j, y in enumerate(f) if i < j and j >= 20}
     assert seen == apart
+
+
+def test_groups_of_near_copies_give_few_rows_between_components(spark, monkeypatch):
+    prepare(spark)
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(150):  # copies with some words replaced: most are linked, all meet in many groups
+        words = [f"w{i}" for i in range(300)]
+        for i in rnd.sample(range(300), rnd.randint(3, 9)):
+            words[i] = f"x{rnd.random()}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real, rows = ngram_join.between_components, []
+
+    def counted(live, parts, classes, rejected, most):
+        found = stored(real(live, parts, classes, rejected, most))
+        rows.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "between_components", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    sets = [set(ngram_join.element_codes(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert got == dict(enumerate(root))
+    assert sum(rows) <= 4 * len(texts), rows
