@@ -204,3 +204,23 @@ def test_groups_of_near_copies_give_few_rows_between_components(spark, monkeypat
                 root = [a if x == b else x for x in root]
     assert got == dict(enumerate(root))
     assert sum(rows) <= 4 * len(texts), rows
+
+
+def test_members_without_a_pair_leave_their_group(spark):
+    prepare(spark)
+    base = [f"w{i}" for i in range(200)]
+    texts = [*(" ".join([*base, f"x{k}"]) for k in range(3)), " ".join(f"y{i}" for i in range(201))]
+    codes = [ngram_join.element_codes(t) for t in texts]
+    f = [ngram_join.fingerprint(c) for c in codes]
+    classes = spark.createDataFrame(
+        [(i, x, len(c), bytearray(ngram_join.parity_sketch(c))) for i, (x, c) in enumerate(zip(f, codes))],
+        "rep long, f1 long, n long, sketch binary",
+    )
+    live = spark.createDataFrame([(7, x) for x in f], "key long, set long")
+    parts = spark.createDataFrame([(x, min(f[:2])) for x in f[:2]], "node long, component long")
+    none = spark.createDataFrame([], "a long, b long")
+    rows = ngram_join.between_components(live, parts, classes, none, 1).collect()
+    assert [set(r.tried) for r in rows if r.tried] == [set(f[:3])]  # all sets of a pair, taken or not
+    gone = spark.createDataFrame([tuple(sorted((f[0], f[2])))], "a long, b long")
+    rows = ngram_join.between_components(live, parts, classes, gone, 1).collect()
+    assert [set(r.tried) for r in rows if r.tried] == [set(f[1:3])]
